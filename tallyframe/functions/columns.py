@@ -86,9 +86,13 @@ def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)).cast("int") - 1
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def to_number(text: Column) -> Column:
-    """A double, or NULL where the text is no number."""
-    return F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
+    """A double, or NULL where the text is no plain number; outer whitespace is allowed."""
+    bare = strip(text)
+    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
 
 
 def literal_array(values: list[str]) -> Column:

@@ -31,6 +31,8 @@ def bootstrap_stderr(
     keys = [f for f in cells.select(*by).schema.fields]
     schema = T.StructType(keys + [T.StructField("_iter", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in ["n", *names]])
 
+    most = max(1, 4_000_000 // (iters * (len(names) + 1)))
+
     def partial_sums(batches):
         acc: dict[tuple, np.ndarray] = {}
         for batch in batches:
@@ -41,6 +43,12 @@ def bootstrap_stderr(
                     # seeded per value, so a repeated task draws the same weights
                     weights = np.random.default_rng(int(h) & 0x7FFFFFFFFFFFFFFF).poisson(float(count), iters)
                     total += weights[:, None] * row
+                if len(acc) > most:  # keep the buffer small where there are many groups
+                    yield from frames(acc)
+                    acc.clear()
+        yield from frames(acc)
+
+    def frames(acc):
         for key, total in acc.items():
             out = {c: [v] * iters for c, v in zip(by, key)}
             out["_iter"] = np.arange(iters, dtype="int32")
