@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.columns import after_first, before_first, chain, strip, words
+from tallyframe.functions.columns import after_first, before_first, strip, words
 
 # Fixed values: (kind, pattern, replacement); kind "r" is a regular expression, "t" plain text.
 PROFILES: dict[str, list[tuple[str, str, str]]] = {

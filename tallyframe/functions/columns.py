@@ -24,6 +24,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def steps(value: Column, *fns: Callable[[Column], Column]) -> Column:
+    """Apply text steps one after the other, each bound once (see ``let``)."""
+    if not fns:
+        return value
+    return let(value, lambda v: steps(fns[0](v), *fns[1:]))
+
+
 def words(text: Column) -> Column:
     """Whitespace tokens without empty ends."""
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
@@ -73,10 +80,6 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def chain(value: Column, *steps: Callable[[Column], Column]) -> Column:
-    return reduce(lambda v, step: step(v), steps, value)
-
-
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

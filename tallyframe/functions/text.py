@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from tallyframe.functions.columns import (
-    PUNCTUATION_CLASS, any_of, array_sum, drop_punctuation, let, literal_array, multiset_overlap, squeeze, strip, strip_left,
-    strip_right, to_number, words,
+    PUNCTUATION_CLASS, any_of, array_sum, drop_punctuation, let, literal_array, multiset_overlap, squeeze, steps, strip, to_number,
+    words,
 )
 from tallyframe.operators.prompts import UNKNOWN_RESPONSES
 
@@ -263,15 +261,17 @@ ANSWER_PREFIXES = [
 
 
 def reasoning_answer(sample: Column) -> Column:
-    s = strip(sample)
-    for p in ANSWER_PREFIXES:
-        s = F.when(F.contains(F.lower(s), F.lit(p.lower())), strip(F.substring_index(s, p, -1))).otherwise(s)
-        s = F.regexp_replace(s, r"\.\z", "")
-    s = F.when(s.rlike(r"(?s)^\$.*\$$") & (F.length(s) > 1), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    for mark in ("boxed{", "text{", "texttt{"):
-        body = F.get(F.split(F.regexp_replace(s, r"\}\z", ""), mark.replace("{", r"\{")), F.lit(1))
-        s = F.when(F.contains(s, F.lit(mark)) & F.endswith(s, F.lit("}")), body).otherwise(s)
-    return F.replace(F.lower(s), F.lit(", "), F.lit(","))
+    def cut(prefix: str):
+        tail = lambda s: F.when(F.contains(F.lower(s), F.lit(prefix.lower())), strip(F.substring_index(s, prefix, -1))).otherwise(s)
+        return lambda s: F.regexp_replace(tail(s), r"\.\z", "")
+
+    def unwrap(mark: str):
+        body = lambda s: F.get(F.split(F.regexp_replace(s, r"\}\z", ""), mark.replace("{", r"\{")), F.lit(1))
+        return lambda s: F.when(F.contains(s, F.lit(mark)) & F.endswith(s, F.lit("}")), body(s)).otherwise(s)
+
+    dollars = lambda s: F.when(s.rlike(r"(?s)^\$.*\$\z") & (F.length(s) > 1), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    found = steps(strip(sample), *[cut(p) for p in ANSWER_PREFIXES], dollars, *[unwrap(m) for m in ("boxed{", "text{", "texttt{")])
+    return F.replace(F.lower(found), F.lit(", "), F.lit(","))
 
 
 def reasoning_match(sample: Column, reference: Column) -> Column:
