@@ -18,17 +18,28 @@ PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``.
 
-    A lambda variable is bound once, whereas a plain column reference is inlined
-    at each use when projections are merged.
+    A lambda variable is bound once, whereas a plain column reference is inlined at
+    each use when projections are merged. The finish step of a fold over one element
+    binds it without wrapping the result in an array, so nested bindings stay cheap
+    to analyse.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
 
 
 def steps(value: Column, *fns: Callable[[Column], Column]) -> Column:
-    """Apply text steps one after the other, each bound once (see ``let``)."""
-    if not fns:
-        return value
-    return let(value, lambda v: steps(fns[0](v), *fns[1:]))
+    """Apply text-to-text steps one after the other, as one fold over the step number.
+
+    Every step may use its input many times; the nesting does not grow with the
+    number of steps.
+    """
+
+    def apply(acc: Column, i: Column) -> Column:
+        out = None
+        for n, fn in enumerate(fns):
+            out = F.when(i == n, fn(acc)) if out is None else out.when(i == n, fn(acc))
+        return out
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(fns) - 1)), value, apply) if fns else value
 
 
 def words(text: Column) -> Column:

@@ -101,7 +101,7 @@ def output_compare(spark, sf):
 def json_valid(spark, sf):
     e = B.table(spark, sf, "events")
     fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    broken = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit("}")))
+    broken = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("{"), "props"))
     return e.select("event_id", C.json_valid(fenced).alias("fenced"), C.json_valid(broken).alias("broken"))
 
 
@@ -132,7 +132,7 @@ def check_instructions_strict(spark, sf):
 
 @query("H51 A19")
 def instruction_accuracy(spark, sf):
-    out = I.check_instructions(instruction_rows(spark, sf), ["doc_id"], "ids", "kwargs", "text")
+    out = I.check_instructions(instruction_rows(spark, sf), ["doc_id"], "ids", "kwargs", "text", known=IDS)
     return out.agg(
         F.avg(F.col("prompt_level_strict").cast("int")).alias("prompt_level_strict_acc"), A.flag_mean(F.col("inst_level_strict")).alias("inst_level_strict_acc"),
         F.avg(F.col("prompt_level_loose").cast("int")).alias("prompt_level_loose_acc"), A.flag_mean(F.col("inst_level_loose")).alias("inst_level_loose_acc"),
