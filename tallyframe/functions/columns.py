@@ -113,43 +113,26 @@ def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays.
+def occurrences(tokens: Column) -> Column:
+    """Tokens with their occurrence number, so that a multiset becomes a set.
 
-    Each array is turned into a histogram map first, so the cost is linear in the
-    token count instead of one array scan per distinct token.
+    Runs in the sorted array give the numbers; every step is linear after the sort.
     """
-    return let(
-        F.struct(histogram(a).alias("x"), histogram(b).alias("y")),
-        lambda h: F.aggregate(
-            F.map_entries(h["x"]),
-            F.lit(0),
-            lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(h["y"], e["key"]), F.lit(0))),
-        ),
-    )
-
 
-def histogram(tokens: Column) -> Column:
-    """Map token to count, from runs in the sorted array."""
-    ordered = F.array_sort(tokens)
-    empty = F.array().cast("array<struct<w:string,p:int>>")
+    def label(s: Column, runs: Column) -> Column:
+        length = lambda e, i: F.coalesce(F.get(runs, i + 1)["p"], F.size(s)) - e["p"]
+        one = lambda e, i: F.transform(
+            F.sequence(F.lit(1), length(e, i)), lambda k: F.concat(e["w"], F.lit("\x1e"), k.cast("string"))
+        )
+        return F.flatten(F.transform(runs, one))
 
     def starts(s: Column) -> Column:
         marked = F.transform(s, lambda w, i: F.struct(w.alias("w"), i.alias("p")))
         return F.filter(marked, lambda e: (e["p"] == 0) | (e["w"] != F.get(s, e["p"] - 1)))
 
-    def counts(s: Column) -> Column:
-        return let(
-            F.coalesce(starts(s), empty),
-            lambda runs: F.map_from_entries(
-                F.transform(
-                    runs,
-                    lambda e, i: F.struct(
-                        e["w"].alias("key"),
-                        (F.coalesce(F.get(runs, i + 1)["p"], F.size(s)) - e["p"]).alias("value"),
-                    ),
-                )
-            ),
-        )
+    return let(F.sort_array(tokens), lambda s: let(starts(s), lambda runs: label(s, runs)))
+
 
-    return let(ordered, counts)
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two token arrays (hash based, not token by token)."""
+    return F.size(F.array_intersect(occurrences(a), occurrences(b)))

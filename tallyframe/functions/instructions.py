@@ -198,21 +198,19 @@ def loose_variants(response: Column) -> Column:
 def check_instructions(df: DataFrame, key: list[str], ids: str, kwargs: str, response: str, known: list[str] | None = None):
     """Per document: instruction flags in order, strict and loose, and both all-true flags.
 
-    ``ids``: array of instruction names; ``kwargs``: array of string maps. The checks run
-    on exploded rows (instruction x variant) and are folded back per instruction; the
-    fan-out is at most eight rows per instruction.
+    ``ids``: array of instruction names; ``kwargs``: array of string maps. Variants and
+    checks stay arrays of the row, so nothing is shuffled. ``known`` narrows the tests
+    to the instruction names that occur in the data.
     """
-    pairs = df.select(*key, response, F.posexplode(F.arrays_zip(F.col(ids).alias("i"), F.col(kwargs).alias("k"))).alias("_pos", "_p"))
-    rows = pairs.select(*key, "_pos", "_p", F.posexplode(loose_variants(F.col(response))).alias("_v", "_r"))
-    ok = follows(F.col("_p.i"), F.col("_p.k"), F.col("_r"), known)
-    tested = rows.select(*key, "_pos", "_v", ok.cast("int").alias("_ok"))
-    per = tested.groupBy(*key, "_pos").agg(
-        F.max(F.when(F.col("_v") == 0, F.col("_ok"))).alias("strict"), F.max("_ok").alias("loose")
-    )
-    flags = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_pos", c))), lambda x: x[c] == 1)
-    return per.groupBy(*key).agg(
-        flags("strict").alias("inst_level_strict"),
-        flags("loose").alias("inst_level_loose"),
-        (F.min("strict") == 1).alias("prompt_level_strict"),
-        (F.min("loose") == 1).alias("prompt_level_loose"),
+    pairs = F.arrays_zip(F.col(ids).alias("i"), F.col(kwargs).alias("k"))
+    test = lambda r: F.transform(pairs, lambda p: follows(p["i"], p["k"], r, known))
+    # the response itself comes first; equal variants are tested once
+    table = F.transform(F.array_distinct(loose_variants(F.col(response))), test)
+    flags = df.select(*key, table.alias("_t"))
+    any_variant = F.transform(F.get("_t", F.lit(0)), lambda _, j: F.exists("_t", lambda row: F.get(row, j)))
+    both = flags.select(*key, F.get("_t", F.lit(0)).alias("inst_level_strict"), any_variant.alias("inst_level_loose"))
+    return both.select(
+        "*",
+        F.forall("inst_level_strict", lambda f: f).alias("prompt_level_strict"),
+        F.forall("inst_level_loose", lambda f: f).alias("prompt_level_loose"),
     )

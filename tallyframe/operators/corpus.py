@@ -11,7 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.columns import array_sum, histogram, let, words
+from tallyframe.functions.columns import let, occurrences, words
 
 # The mteval-13a tokenizer steps.
 TOKENIZE_13A = [
@@ -46,13 +46,8 @@ def grams(tokens: Column, n: int) -> Column:
 
 def clipped_matches(pred: Column, refs: Column) -> Column:
     """Matches of prediction n-grams, each at most as often as in the best reference."""
-    hists = F.transform(refs, histogram)
-
-    def count(h: Column) -> Column:
-        best = lambda key: F.array_max(F.transform(h["r"], lambda m: F.coalesce(F.try_element_at(m, key), F.lit(0))))
-        return F.aggregate(F.map_entries(h["p"]), F.lit(0), lambda acc, e: acc + F.least(e["value"], best(e["key"])))
-
-    return let(F.struct(histogram(pred).alias("p"), hists.alias("r")), count)
+    allowed = F.array_distinct(F.flatten(F.transform(refs, occurrences)))
+    return F.size(F.array_intersect(occurrences(pred), allowed))
 
 
 def bleu_counts(pred_tokens: Column, ref_tokens: Column, closest: bool = True) -> Column:
