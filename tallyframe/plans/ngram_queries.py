@@ -54,7 +54,8 @@ def contaminating_documents(spark, sf):
     f"""select ngram, count(distinct doc_id) as n_docs from {B.doc_ngrams_sql(13)} group by ngram having count(distinct doc_id) > 1""",
 )
 def frequent_ngrams(spark, sf):
-    return N.ngram_doc_frequency(N.word_ngrams(docs(spark, sf), ["doc_id"], "text", n13), "doc_id", min_docs=1)
+    index = N.word_ngrams(docs(spark, sf), ["doc_id"], "text", n13, once=True)
+    return N.ngram_doc_frequency(index, "doc_id", min_docs=1, distinct_rows=True)
 
 
 @query(

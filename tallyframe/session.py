@@ -45,11 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, text_cols: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after measuring ``df``; otherwise leave the join to shuffle.
-
-    The measure is one aggregate over the named columns plus a fixed cost per row.
-    """
+def is_small(df: DataFrame, text_cols: list[str], limit: int = BROADCAST_BYTES) -> bool:
+    """Measure a table: the bytes of the named columns plus a fixed cost per row."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in text_cols), F.lit(64))
     size = df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
-    return F.broadcast(df) if size <= limit else df
+    return size <= limit
+
+
+def broadcast_if_small(df: DataFrame, text_cols: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring ``df``; otherwise leave the join to shuffle."""
+    return F.broadcast(df) if is_small(df, text_cols, limit) else df
