@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.columns import let, occurrences, words
 
@@ -143,7 +143,7 @@ def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     return let(F.struct(tokens_rouge(pred).alias("p"), tokens_rouge(ref).alias("r")), f)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common token subsequence, one bit per token of ``a``."""
 

@@ -70,7 +70,7 @@ def attempt_matrix(spark, sf):
 
 
 @query(
-    "A25",
+    "A25 O4",
     f"""with p as (select l_orderkey, max(correct::int) as hit from {B.ATTEMPTS_SQL} where attempt <= 3 group by 1)
         select round(avg(hit), 9) as pass_any_3, round(avg(hit) * 100, 1) as acc_pass from p""",
 )

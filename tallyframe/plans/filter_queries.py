@@ -47,7 +47,7 @@ def multi_choice_filter(spark, sf):
 
 
 @query(
-    "H3 H4 H5 H6 F3",
+    "H3 H4 H5 H6 F3 O4",
     """with r as (select p_partkey, ['  ' || upper(p_name), p_brand, p_brand] as resps from part)
        select p_partkey, 'first' as filter, ltrim(lower(resps[1])) as resp from r union all select p_partkey, 'majority', resps[2] from r
        union all select p_partkey, 'two', resps[1] || '|' || resps[2] from r
