@@ -10,7 +10,7 @@ from tallyframe.session import build_session
 HEADLINE = [
     "pass_at_k", "majority_at_k", "best_of_k_by_reward", "consistency_rate", "attempt_matrix_mean", "task_means",
     "group_rollup_weighted", "f1_averages", "word_ngrams", "contaminated_items", "frequent_ngrams", "contamination_report",
-    "clean_corpus", "corpus_bleu", "rouge_n", "token_f1", "normalize_answer", "regex_filter", "filter_pipelines",
+    "clean_corpus", "corpus_bleu", "rouge_n", "token_f1", "normalize_answer", "regex_filter", "filter_fanout",
     "results_consolidate", "compare_runs", "fewshot_random", "batch_requests", "best_threshold_f1", "numeric_equal",
     "check_instructions_strict", "bootstrap_mean_stderr",
 ]

@@ -53,7 +53,7 @@ def multi_choice_filter(spark, sf):
        union all select p_partkey, 'two', resps[1] || '|' || resps[2] from r
        union all select p_partkey, 'mapped', case when resps[2] = 'Brand#2' then 'two' else 'other' end from r""",
 )
-def filter_pipelines(spark, sf):
+def filter_fanout(spark, sf):
     p = B.table(spark, sf, "part").select("p_partkey", F.array(F.concat(F.lit("  "), F.upper("p_name")), "p_brand", "p_brand").alias("resps"))
     out = X.apply_filters(
         p, "resps",

@@ -46,9 +46,9 @@ def exact_match_any(spark, sf):
     )
 
 
-@query("H17", f"select doc_id, md5(array_to_string({sql_norm('text')}, ' ')) as h from documents where lang = 'en'")
+@query("H17", f"select doc_id, md5(array_to_string({sql_norm('text')}, ' ')) as h from documents")
 def normalize_answer(spark, sf):
-    d = B.table(spark, sf, "documents").filter("lang = 'en'")
+    d = B.table(spark, sf, "documents")
     return d.select("doc_id", F.md5(X.normalize_answer(F.col("text"))).alias("h"))
 
 
@@ -107,14 +107,14 @@ def leave_one_out(spark, sf):
 
 @query(
     "H19",
-    f"""with t as (select conv_id, turn, p, list_transform(list_slice(string_split(ref, chr(10)), 1, 3), lambda g: {sql_norm('g')}) as golds from {TOK}),
+    f"""with t as (select conv_id, turn, p, list_transform(string_split(ref, chr(10)), lambda g: {sql_norm('g')}) as golds from {TOK}),
         f as (select conv_id, turn, list_transform(golds, lambda r: struct_pack(n := {B.sql_overlap('p', 'r')}, a := len(p), b := len(r))) as c from t),
         s as (select conv_id, turn, list_transform(c, lambda x: case when x.a = 0 or x.b = 0 then (x.a = x.b)::int::double when x.n = 0 then 0.0::double else 2.0::double * x.n / (x.a + x.b) end) as s from f)
         select conv_id, turn, round(case when len(s) = 1 then s[1] else list_sum(list_transform(s, lambda x, i:
         list_max(list_filter(list_transform(s, lambda y, j: case when j <> i then y end), lambda z: z is not null)))) / len(s) end, 9) as f1 from s""",
 )
 def leave_one_out_f1(spark, sf):
-    golds = F.slice(F.split("ref", "\n"), 1, 3)
+    golds = F.split("ref", "\n")
     f1 = X.leave_one_out(golds, lambda g: X.squad_f1(F.col("pred"), g))
     return B.replies(spark, sf).select("conv_id", "turn", F.round(f1, 9).alias("f1"))
 
@@ -174,13 +174,13 @@ def classification_score(spark, sf):
 
 @query(
     "H24",
-    """select o_orderkey, (abs(o_totalprice * (0.9 + (o_orderkey % 20) / 100.0) - o_totalprice) / o_totalprice <= 0.05)::int::double as relaxed,
-       (o_orderkey % 3 = 0)::int::double as words, (o_orderkey % 2 = 0)::int::double as final from orders where (o_orderkey % 20) not in (5, 15)""",
+    """select o_orderkey, (abs(o_totalprice * (0.903 + (o_orderkey % 20) / 100.0) - o_totalprice) / o_totalprice <= 0.05)::int::double as relaxed,
+       (o_orderkey % 3 = 0)::int::double as words, (o_orderkey % 2 = 0)::int::double as final from orders""",
 )
 def relaxed_accuracy(spark, sf):
     k = F.col("o_orderkey")
-    o = B.table(spark, sf, "orders").filter(~(k % 20).isin(5, 15))
-    near = F.format_string("The Answer**: $%.6f.\n", F.col("o_totalprice") * (F.lit(0.9) + (k % 20) / 100.0))
+    o = B.table(spark, sf, "orders")
+    near = F.format_string("The Answer**: $%.6f.\n", F.col("o_totalprice") * (F.lit(0.903) + (k % 20) / 100.0))
     target = F.array(F.format_string("%.2f", "o_totalprice"))
     said = F.when(k % 3 == 0, "I think it is urgent now").otherwise("no idea")
     final = F.when(k % 2 == 0, "so\nFinal Answer: Blue.").otherwise("Final Answer: red")
