@@ -19,6 +19,11 @@ def bench(spark, sf):
     return B.table(spark, sf, "benchmark")
 
 
+def dirty_documents(spark, sf):
+    grams = N.register_contaminants(bench(spark, sf), "text", n13)
+    return N.documents_with_ngrams(docs(spark, sf), ["doc_id"], "text", grams, n13)
+
+
 @query("N1 N5", f"select doc_id, count(*) as n, count(distinct ngram) as n_distinct, min(ngram) as lo, max(ngram) as hi from {B.doc_ngrams_sql(13)} group by doc_id")
 def word_ngrams(spark, sf):
     g = N.word_ngrams(docs(spark, sf), ["doc_id"], "text", n13)
@@ -46,7 +51,7 @@ def contaminated_items(spark, sf):
     f"select distinct doc_id from {B.doc_ngrams_sql(13)} where ngram in (select ngram from {B.bench_ngrams_sql(13)})",
 )
 def contaminating_documents(spark, sf):
-    return N.contaminated_docs(bench(spark, sf), "text", docs(spark, sf), ["doc_id"], "text", n13)
+    return dirty_documents(spark, sf)
 
 
 @query(
@@ -88,14 +93,14 @@ DIRTY = f"(select distinct doc_id from {B.doc_ngrams_sql(13)} where ngram in (se
         count(*) filter (dirty) as n_contaminated, count(*) as n_all from s""",
 )
 def decontaminated_scores(spark, sf):
-    dirty = N.contaminated_docs(bench(spark, sf), "text", docs(spark, sf), ["doc_id"], "text", n13)
+    dirty = dirty_documents(spark, sf)
     out = N.decontaminated_scores(docs(spark, sf).select("doc_id", "n_chars"), dirty, "doc_id", "n_chars")
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns[:3]], *out.columns[3:])
 
 
 @query("J5", f"select doc_id, lang, n_chars from documents where doc_id not in (select doc_id from {DIRTY})")
 def clean_subset(spark, sf):
-    dirty = N.contaminated_docs(bench(spark, sf), "text", docs(spark, sf), ["doc_id"], "text", n13)
+    dirty = dirty_documents(spark, sf)
     clean, _ = N.split_clean(docs(spark, sf).select("doc_id", "lang", "n_chars"), dirty, "doc_id")
     return clean
 
