@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["chat", "host_rules", "token_rollup"]
+MODULES = ["pii", "chat", "host_rules", "token_rollup"]
 
 
 def query(sql: str | None = None):
