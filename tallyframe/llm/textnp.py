@@ -13,6 +13,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 # The bytes of white space that separate words (space, tab to carriage return).
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+# Every ASCII byte that is no letter or digit.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -45,10 +47,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; ``at`` are row offsets into ``data``, beginning at 0."""
+def word_bounds(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of bytes outside ``gaps``; ``at`` are row offsets into ``data``, beginning at 0."""
     inside = np.empty(len(data) + 1, bool)
-    inside[:-1] = ~IS_SPACE[data]
+    inside[:-1] = ~gaps[data]
     inside[-1] = False
     first = inside[:-1].copy()
     first[1:] &= ~inside[:-2]
