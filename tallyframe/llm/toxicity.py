@@ -29,9 +29,9 @@ from tallyframe.llm.shared import table
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 8_000
 PREFIXES = (4, 5, 6)
 #: A feature marks tokens if it is this many times likelier in toxic documents, at this log-likelihood ratio.
-MIN_RATIO, MIN_EVIDENCE = 12.0, 16.0
+MIN_RATIO, MIN_EVIDENCE = 4.0, 10.0
 #: Features with less evidence either way get no weight.
-USE_EVIDENCE = 6.0
+USE_EVIDENCE = 4.0
 VOCABULARY = 40_000
 ROUNDS = 20
 BLOCK = 64
