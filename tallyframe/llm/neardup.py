@@ -5,7 +5,9 @@
 2. Per bucket each member is compared with one anchor (another one in each band). This joins groups of near copies
    without their pairs.
 3. Where a bucket still holds several components, all pairs between different components are compared in blocks of
-   bounded size, so the result has every link between different texts that share a bucket.
+   bounded size, so the result has every link between different texts that share a bucket. Shingles that only one open
+   text has bound its similarity with every other one, exactly; texts and pairs below the threshold by this bound are
+   left out.
 
 A pair's signatures are compared in batches. A pair is dropped as soon as the posterior probability of reaching the
 threshold, from a uniform prior, falls below ``MISS``; the survivors are decided on their whole sets. A pair at the
@@ -66,18 +68,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_digest(values: np.ndarray, at: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A 64-bit sum per set that does not depend on order."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(textnp.mix(values ^ seed))])
+    return (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for first, last, values, at in textnp.shingle_sets(batch.column(1), SIZE):
             sig, n = signatures(values, at), np.diff(at)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(textnp.mix(values ^ s))]) for s in (textnp.BASE, np.uint64(1))]
-            digest = [s[at[1:]] - s[at[:-1]] for s in sums]
             keys = band_keys(sig)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(first, last - first), pa.array(n.astype(np.int64)),
-                    pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
+                    pa.array(set_digest(values, at, textnp.BASE)), pa.array(set_digest(values, at, np.uint64(1))),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
                     pa.array([row.tobytes() for row in sig], pa.binary()),
                 ],
@@ -90,7 +96,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
         for first, last, values, at in textnp.shingle_sets(batch.column(1), SIZE):
             sets = [values[at[i] : at[i + 1]].tobytes() for i in range(last - first)]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sets, pa.large_binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(first, last - first), pa.array(set_digest(values, at, textnp.BASE)), pa.array(sets, pa.large_binary())],
+                names=["doc_id", "set_a", "shingles"],
+            )
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, digest, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            own = np.frombuffer(values.as_buffer(), np.int64)
+            columns = [pa.array(own), pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), digest))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc_id", "set_a"])
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
@@ -145,13 +162,16 @@ def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
     comp = np.array([r[6] for r in rows])
     side = np.array([r[4] for r in rows])
     sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(len(rows), BANDS * ROWS)
+    size = np.array([r[8] for r in rows])
+    shared = size - np.array([r[9] for r in rows])
     if left == right:
         i, j = np.triu_indices(len(rows), 1)
     else:
         one, two = np.flatnonzero(side == left), np.flatnonzero(side == right)
         i, j = np.repeat(one, len(two)), np.tile(two, len(one))
-    differ = comp[i] != comp[j]
-    i, j = i[differ], j[differ]
+    common = np.minimum(shared[i], shared[j])
+    able = (comp[i] != comp[j]) & (100 * common >= PERCENT * (size[i] + size[j] - common))
+    i, j = i[able], j[able]
     out_a, out_b = [], []
     for first in range(0, len(i), 8192):
         a, b = i[first : first + 8192], j[first : first + 8192]
@@ -184,9 +204,10 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    one = sigs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
-    two = sigs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long")
+    one = sigs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
+    two = sigs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
+    near = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return near.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,8 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed.join(buckets, ["band", "key"]).select("band", "key", "doc_id", "members", F.col("low").bitwiseXOR(flip).alias("anchor"))
     )
     ids = cut(members.select("doc_id").distinct())
-    sigs = reps.join(ids, "doc_id", "left_semi").select("doc_id", "signature")
-    sets = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
+    sigs = reps.join(ids, "doc_id", "left_semi").select("doc_id", "set_a", "n_shingles", "signature")
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_a long, shingles binary")
+    sets = written(sets, "shingles")
 
     stars = members.filter("doc_id <> anchor").select(F.greatest("doc_id", "anchor").alias("a"), F.least("doc_id", "anchor").alias("b"))
     links = cut(_confirmed(_pruned(stars.distinct(), sigs), sets))
@@ -227,11 +249,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "band", "key", "members", "doc_id", F.coalesce("label", "doc_id").alias("comp")
     )
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
-    open_ = placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi").join(sigs, "doc_id")
+    open_ = cut(placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi"))
+    own = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_a", "shingles")
+    once = own.mapInArrow(_members, "shingle long, doc_id long, set_a long").groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("set_a").alias("set_a")
+    ).filter("n = 1")
+    alone = once.groupBy("doc_id", "set_a").agg(F.count("*").alias("alone"))
+    sigs = sigs.join(alone, ["doc_id", "set_a"], "left").fillna(0, "alone")
+    open_ = open_.join(sigs.filter(f"100 * (n_shingles - alone) >= {PERCENT} * n_shingles"), "doc_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "band", "key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "doc_id", "comp", "signature"
+        "band", "key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "doc_id", "comp",
+        "signature", "n_shingles", "alone",
     )
     group = ["band", "key", "left", "right"]
     more = open_.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare_blocks, "a long, b long").distinct()
