@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyframe.functions.columns import let
 from tallyframe.llm.registry import query
 from tallyframe.llm.shared import cut, table, text_of
 
@@ -44,9 +45,12 @@ def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
 def agreement(doc: Column, item: Column, shift: Column) -> Column:
     """Most agreeing words in any window of the item at this alignment, and the window's length: struct<best, of>."""
     of = F.least(F.size(item), F.lit(WINDOW))
-    equal = F.transform(item, lambda w, k: F.when((k + shift >= 0) & (F.get(doc, k + shift) == w), 1).otherwise(0))
+    before = F.array_repeat(F.lit(None).cast("long"), F.greatest(-shift, F.lit(0)))
+    aligned = F.concat(before, F.slice(doc, F.greatest(shift, F.lit(0)) + 1, F.size(item)))
+    equal = F.slice(F.zip_with(item, aligned, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(1), F.size(item))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(item) - of + 1), lambda i: total(F.slice(equal, i, of))))
+    # The equal words are bound once; inside a lambda they would be found anew for each window.
+    best = let(equal, lambda e: F.array_max(F.transform(F.sequence(F.lit(1), F.size(item) - of + 1), lambda i: total(F.slice(e, i, of)))))
     return F.struct(best.alias("best"), of.alias("of"))
 
 
@@ -66,14 +70,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADC
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, item_id (smallest one found), max_words."""
+    """One row per document: doc_id, contaminated, n_items, item_id (smallest one found, or -1), max_words."""
     found = overlaps(docs, benchmark).groupBy("doc_id").agg(
         F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("item_id"), F.max("best").cast("long").alias("max_words")
     )
     out = docs.select("doc_id").join(found, "doc_id", "left")
     return out.select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        "item_id", F.coalesce("max_words", F.lit(0)).cast("long").alias("max_words"),
+        F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), F.coalesce("max_words", F.lit(0)).cast("long").alias("max_words"),
     )
 
 
@@ -100,7 +104,7 @@ b AS (SELECT doc_id, item_id, least(n, 13) AS o,
     list_max(list_transform(generate_series(1, n - least(n, 13) + 1), lambda q: list_sum(e[q:q + least(n, 13) - 1]))) AS best FROM eq),
 f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS item_id, max(best) AS max_words FROM b
   WHERE 100 * best >= 75 * o GROUP BY 1)
-SELECT d.doc_id, f.n_items IS NOT NULL AS contaminated, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, item_id,
+SELECT d.doc_id, f.n_items IS NOT NULL AS contaminated, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(item_id, -1) AS item_id,
   CAST(coalesce(max_words, 0) AS BIGINT) AS max_words
 FROM documents d LEFT JOIN f USING (doc_id)
 """
