@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["pii", "packing", "chat", "spaced_seeds", "neardup", "toxicity", "suffixes", "host_rules", "token_rollup"]
+MODULES = ["pii", "packing", "chat", "spaced_seeds", "neardup", "toxicity", "licenses", "suffixes", "host_rules", "token_rollup"]
 
 
 def query(sql: str | None = None):
