@@ -274,6 +274,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest; of rows that repeat an id, one."""
+    gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
+    again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    single = docs.join(gone.union(again).distinct(), "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(again.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return single.union(once)
+
+
 @query()
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

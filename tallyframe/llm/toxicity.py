@@ -317,6 +317,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(tag, OUTPUT)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = textnp.buffers(batch.column(place))
+            for first, last in textnp.row_chunks(at):
+                starts, _, bounds, features = tokens(data[at[first] : at[last]], at[first : last + 1] - at[first])
+                p = Chain(model.emissions(model.known(features)), bounds, model.trans).marginals(len(starts)) if len(model.features) else np.zeros(len(starts))
+                yield batch.slice(first, last - first).filter(pa.array(model.document_scores(p, bounds) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model that is trained on the labelled ones."""
     out = score(docs, train(docs, labels))
