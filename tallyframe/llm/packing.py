@@ -20,6 +20,8 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,32 @@ TOKENIZER = "word_bpe_49k.json"
 CLASSES = 64
 DEPTH = 5
 SALTS = 256
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Units whose ids a Python worker remembers; beyond it the memory starts anew.
+REMEMBERED = 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds:
-    """Ids of white-space separated words. The tokenizer never joins ids over white space, so words can be remembered."""
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_PUNCT = np.array([chr(b) in '.,!?;:()"' for b in range(256)])
+
+
+def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of words, cut again between ASCII letters or digits and plain punctuation.
+
+    The tokenizer's own pattern always parts there (apostrophes, which it may join to letters, are no such mark), and it
+    never joins ids over white space, so the ids of a text are those of its units.
+    """
+    starts, ends, _ = textnp.word_bounds(data, at)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (_ALNUM[data[:-1]] & _PUNCT[data[1:]]) | (_PUNCT[data[:-1]] & _ALNUM[data[1:]])
+    first, last = cut.copy(), np.append(cut, False)
+    first[starts], last[ends] = True, True
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last), np.searchsorted(at, starts, "right") - 1
+
+
+class UnitIds:
+    """Ids of units; a unit that came before is not tokenized again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,22 +79,22 @@ class WordIds:
 
     def rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, joined, and the number of ids of each row."""
-        starts, ends, rows = textnp.word_bounds(data, at)
+        data = textnp.LOWER[data]  # the tokenizer lower-cases, too
+        starts, ends, rows = units(data, at)
         hashes, back = np.unique(textnp.word_hashes(data, starts, ends), return_inverse=True)
         if len(self.places) + len(hashes) > REMEMBERED:
             self.forget()
         keys, places = hashes.tolist(), self.places
         new = [i for i, h in enumerate(keys) if h not in places]
         if new:
-            first = np.full(len(keys), -1, np.int64)
-            first[back[::-1]] = np.arange(len(back))[::-1]
-            text = data.tobytes()
-            words = [text[starts[k] : ends[k]].decode("utf-8", "replace") for k in first[new]]
+            some = np.empty(len(keys), np.int64)
+            some[back] = np.arange(len(back))
+            text, some = data.tobytes(), some[new]
+            words = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            for i in new:
-                places[keys[i]] = len(places)
+            places.update(zip([keys[i] for i in new], range(len(places), len(places) + len(new))))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array([y for x in found for y in x], np.uint32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
         own = np.array([places[h] for h in keys], np.int64)[back]
         length = self.at[own + 1] - self.at[own]
         before = np.cumsum(length) - length
@@ -90,16 +111,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def unit_ids(path: str) -> UnitIds:
+    """One memory per Python worker, which Spark uses for many tasks."""
+    return UnitIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """Token pieces of every document, in order."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path(tokenizer))
+        own_ids = unit_ids(tokenizer_path(tokenizer))
         for batch in batches:
             data, at = textnp.buffers(batch.column(1))
             for first, last in textnp.row_chunks(at, 4 * textnp.CHUNK):
                 own = at[first : last + 1] - at[first]
-                ids, counts = words.rows(data[at[first] : at[last]], own)
+                ids, counts = own_ids.rows(data[at[first] : at[last]], own)
                 ends = np.cumsum(counts)
                 out = []
                 for i, doc in enumerate(batch.column(0).slice(first, last - first).to_pylist()):
