@@ -242,7 +242,7 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> Mod
         slope[-1] = 0
         slope -= 1e-2 * model.weights
         speed[0] += slope**2
-        model.weights = model.weights + 0.5 * slope / np.sqrt(speed[0])
+        model.weights = model.weights + 1.5 * slope / np.sqrt(speed[0])
         slope = target - pairs
         speed[2] += slope**2
         theta = theta + 0.2 * slope / np.sqrt(speed[2])
