@@ -84,22 +84,23 @@ def score_samples(df: DataFrame, metrics: list[str], pred: Column, ref: Column)
 
 
 def aggregate_samples(scored: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
-    """Long result rows: by, metric, value, stderr (for means), n, higher_is_better; one pass."""
-    aggs = [F.count("*").alias("n")]
+    """Long result rows: by, metric, value, stderr (for means), n (scored rows), higher_is_better; one pass."""
+    aggs = []
     for m in metrics:
         spec = METRICS[m]
         aggs.append(AGGREGATIONS[spec.aggregation](F.col(m)).cast("double").alias(f"{m}__value"))
+        aggs.append(F.count(m).alias(f"{m}__n"))
         err = A.mean_stderr(F.col(m)) if spec.aggregation == "mean" else F.lit(None)
         aggs.append((err if spec.aggregation == "mean" else F.max(err)).cast("double").alias(f"{m}__stderr"))
     wide = scored.groupBy(*by).agg(*aggs)
     rows = F.array(*[
         F.struct(
-            F.lit(m).alias("metric"), F.col(f"{m}__value").alias("value"), F.col(f"{m}__stderr").alias("stderr"),
+            F.col(f"{m}__n").alias("n"), F.lit(m).alias("metric"), F.col(f"{m}__value").alias("value"), F.col(f"{m}__stderr").alias("stderr"),
             F.lit(METRICS[m].higher_is_better).alias("higher_is_better"),
         )
         for m in metrics
     ])
-    return wide.select(*by, "n", F.inline(rows))
+    return wide.select(*by, F.inline(rows))
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict | list[dict]], schema: str) -> DataFrame:

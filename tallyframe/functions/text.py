@@ -595,7 +595,13 @@ def relation_labels(gold: Column, pred: Column) -> Column:
     """
     pair = lambda g, p: F.struct(F.lit(g).alias("gold"), p.cast("int").alias("pred"))
     same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
-    found = F.transform(gold, lambda g: pair(1, F.exists(pred, lambda p: same(p, g))))
+
+    def hit(g: Column, i: Column) -> Column:
+        """The nth of several equal gold relations needs n equal predictions."""
+        nth = F.size(F.filter(F.slice(gold, F.lit(1), i + 1), lambda x: same(x, g)))
+        return pair(1, F.size(F.filter(pred, lambda p: same(p, g))) >= nth)
+
+    found = F.transform(gold, hit)
     surplus = F.greatest(F.size(pred) - F.size(gold), F.lit(0))
     extra = F.filter(F.slice(pred, F.lit(1), surplus), lambda p: ~F.exists(gold, lambda g: same(p, g)))
     wrong = F.transform(extra, lambda p: pair(0, F.lit(1)))

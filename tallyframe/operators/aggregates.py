@@ -186,27 +186,14 @@ def acc_all(df: DataFrame, paragraph: str, question: str, correct: Column) -> Da
 
 
 def arrival_median(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
-    """The entry at position n // 2 in arrival order (not the sorted median).
-
-    The position is located between two approximate quantiles of the order key, so
-    only a thin slice of each group is numbered.
-    """
-    slack = 0.001
-    bounds = df.groupBy(*group).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx(order, [0.5 - slack, 0.5 + slack], 10000).alias("_q"),
-    )
-    keyed = df.join(bounds, group)
-    near = F.col(order).between(F.col("_q")[0], F.col("_q")[1])
-    below = keyed.groupBy(*group).agg(
-        F.count_if(F.col(order) < F.col("_q")[0]).alias("_below"), F.first("_n").alias("_n")
-    )
-    slice_ = keyed.filter(near).select(*group, order, value)
+    """The entry at position n // 2 in arrival order (not the sorted median); one row per group, a null group included."""
     from tallyframe.operators.ordering import group_index
 
-    numbered = group_index(slice_, group, [order], "_rn").join(below, group)
-    hit = F.col("_below") + F.col("_rn") - 1 == F.floor(F.col("_n") / 2)
-    return numbered.filter(hit).select(*group, F.col(value).alias("median"))
+    numbered = group_index(df.select(*group, order, value), group, [order], "_rn")
+    sizes = numbered.groupBy(*[F.col(c).alias(f"_s_{c}") for c in group]).agg(F.max("_rn").alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group]
+    middle = numbered.join(sizes, same).filter(F.col("_rn") - 1 == F.floor(F.col("_n") / 2))
+    return middle.select(*group, F.col(value).alias("median"))
 
 
 def length_bucket_mean(df: DataFrame, length: str, score: str) -> DataFrame:

@@ -24,9 +24,14 @@ def bootstrap_stderr(
     replaced by independent Poisson weights: rows with equal values are first counted
     (a value seen c times gets one Poisson(c) weight), every task adds up its weighted
     sums for all resamples, and only those partial sums are shuffled.
+
+    Rows with a null in any sum do not count. A null group is a group; without ``by`` the whole table is one.
     """
-    names = list(sums)
+    names, asked = list(sums), by
+    df = df.withColumn("_all", F.lit(0))
+    by = by or ["_all"]
     cells = df.groupBy(*by, *[e.cast("double").alias(c) for c, e in sums.items()]).agg(F.count("*").alias("_c"))
+    cells = cells.dropna(subset=names)
     cells = cells.withColumn("_h", F.xxhash64(F.lit(seed), *by, *names))
     keys = [f for f in cells.select(*by).schema.fields]
     schema = T.StructType(keys + [T.StructField("_iter", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in ["n", *names]])
@@ -36,8 +41,9 @@ def bootstrap_stderr(
     def partial_sums(batches):
         acc: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for key, part in batch.groupby(by, sort=False):
-                total = acc.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((iters, len(names) + 1)))
+            for key, part in batch.groupby(by, sort=False, dropna=False):
+                key = tuple(None if pd.isna(v) else v for v in (key if isinstance(key, tuple) else (key,)))
+                total = acc.setdefault(key, np.zeros((iters, len(names) + 1)))
                 values = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float)])
                 for row, count, h in zip(values, part["_c"].to_numpy(), part["_h"].to_numpy()):
                     # seeded per value, so a repeated task draws the same weights
@@ -59,4 +65,4 @@ def bootstrap_stderr(
     parts = cells.mapInPandas(partial_sums, schema)
     per_iter = parts.groupBy(*by, "_iter").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
     stat = per_iter.select(*by, statistic({c: F.col(c) for c in ["n", *names]}).alias("s"))
-    return stat.groupBy(*by).agg(F.stddev_samp("s").alias("stderr"))
+    return stat.groupBy(*by).agg(F.stddev_samp("s").alias("stderr")).select(*asked, "stderr")

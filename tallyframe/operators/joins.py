@@ -86,10 +86,6 @@ def cache_misses(requests: DataFrame, cache: DataFrame, sampled: Column) -> Data
     return fixed.unionByName(requests.filter(sampled))
 
 
-def merge_responses(hits: DataFrame, answered: DataFrame) -> DataFrame:
-    return hits.unionByName(answered)
-
-
 def resume_remaining(examples: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Examples that have no result yet."""
     return examples.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -99,9 +99,19 @@ def shuffle_choices(df: DataFrame, key: str, choices: str, gold: str, seed: int
 # ---------------------------------------------------------------- templates
 
 FIELD = re.compile(r"\{\{\s*(.*?)\s*\}\}")
+REPLACE = re.compile(r"""\|\s*regex_replace\(\s*(['"])(.*?)\1\s*,\s*(['"])(.*?)\3\s*(?:,\s*(\d+)\s*)?\)""")
 PART = re.compile(r"\.(strip|lstrip|rstrip|lower|upper|title)\(\)|\[(-?\d+)\]|\.(\w+)|\|\s*(\w+)")
 
 
+def regex_replace(col: Column, pattern: str, repl: str, count: int = 0) -> Column:
+    """Replace all matches, or the first ``count`` ones; groups (``\\1``) can be used where all are replaced."""
+    if count and re.search(r"\\\d", repl):
+        raise ValueError("a counted replacement cannot refer to groups")
+    if count:
+        return F.array_join(F.split(col, pattern, count + 1), repl)
+    return F.regexp_replace(col, pattern, re.sub(r"\\(\d)", r"$\1", repl.replace("$", "\\$")))
+
+
 def field_reference(text: str) -> Column:
     """``name``, ``name[0]``, ``name.inner``, ``name.strip()``, ``name|trim`` as a column."""
     name = re.match(r"\w+", text)
@@ -112,6 +122,10 @@ def field_reference(text: str) -> Column:
     calls["lstrip"] = lambda c: F.regexp_replace(c, r"^\s+", "")
     calls["rstrip"] = lambda c: F.regexp_replace(c, r"\s+$", "")
     while pos < len(text):
+        m = REPLACE.match(text, pos)
+        if m:
+            col, pos = regex_replace(col, m.group(2), m.group(4), int(m.group(5) or 0)), m.end()
+            continue
         m = PART.match(text, pos)
         if not m:
             raise ValueError(f"cannot read template field {text!r}")
@@ -251,6 +265,9 @@ def sample_fewshot(
     if sampler == "first_n":
         # at most k + 1 rows are ever needed
         head = renamed.orderBy("pool_id").limit(k + 1)
+        found = head.count()
+        if found < k + (1 if same_split else 0):
+            raise ValueError(f"{k} examples asked from a pool of {found}")
         placed = dense_index(head, ["pool_id"], "_at")
         size, start = k + 1, F.lit(0).cast("long")
     elif sampler == "random":

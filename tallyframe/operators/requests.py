@@ -101,22 +101,19 @@ def sha_fingerprints(df: DataFrame, doc: list[str], prompt: str, target: str) ->
     )
 
 
-def task_hashes(df: DataFrame, task: list[str], order: str, hash_col: str, block: int = 100_000) -> DataFrame:
-    """Hash of the sample hashes of a task in order.
+def task_hashes(df: DataFrame, task: list[str], order: str, hash_col: str, block: int = 10_000) -> DataFrame:
+    """Hash of the sample hashes of a task in order, by one rule for every size.
 
-    Up to ``block`` samples the hash is the one over the joined sample hashes. Larger
-    tasks are hashed block by block and the block hashes are hashed again, so that no
-    task has to hold all hashes of a benchmark.
+    The sample hashes are joined and hashed in blocks, the block hashes in blocks of the same size, and those hashes once
+    more. No row of the plan holds more than ``block`` hashes up to ``block`` cubed samples of a task.
     """
     numbered = group_index(df.select(*task, order, hash_col), task, [order], "_rn")
-    blocked = numbered.withColumn("_b", F.floor((F.col("_rn") - 1) / block))
-    joined = lambda pos, h: F.sha2(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, h))), lambda x: x[h]), ""), 256
-    )
-    blocks = blocked.groupBy(*task, "_b").agg(joined("_rn", hash_col).alias("_h"))
-    return blocks.groupBy(*task).agg(
-        F.when(F.count("*") == 1, F.max("_h")).otherwise(joined("_b", "_h")).alias("task_hash")
-    )
+    level = numbered.select(*task, (F.col("_rn") - 1).alias("_p"), F.col(hash_col).alias("_h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), ""), 256)
+    for _ in range(2):
+        blocked = level.withColumn("_b", F.floor(F.col("_p") / block))
+        level = blocked.groupBy(*task, "_b").agg(joined.alias("_h")).withColumnRenamed("_b", "_p")
+    return level.groupBy(*task).agg(joined.alias("task_hash"))
 
 
 def prune_by_length(df: DataFrame, text: str, max_tokens: int, token_count: Column | None = None) -> DataFrame:

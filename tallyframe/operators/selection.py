@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe.functions.columns import all_of, any_of
 from tallyframe.operators.ordering import dense_index
 
-TOP_ROWS = 10_000
-
 
 def filter_category(df: DataFrame, col: str, value, mode: str = "equals") -> DataFrame:
     """``mode``: equals, startswith, in, excludes (text does not contain the value)."""
@@ -40,10 +38,9 @@ def filter_date_range(df: DataFrame, col: str, start: str | None = None, end: st
 
 def limit_docs(df: DataFrame, key: str, limit: int | float) -> DataFrame:
     """The first ``limit`` documents in key order, or the first share of them below 1."""
-    k = math.ceil(df.count() * limit) if limit < 1 else int(limit)
-    if k <= TOP_ROWS:
-        return df.orderBy(key).limit(k)
-    return dense_index(df, [key], "_pos").filter(F.col("_pos") < k).drop("_pos")
+    numbered = dense_index(df, [key], "_pos")
+    k = math.ceil(numbered.count() * limit) if limit < 1 else int(limit)
+    return numbered.filter(F.col("_pos") < k).drop("_pos")
 
 
 def slice_docs(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
@@ -101,13 +98,6 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- ordering
 
 
-def order_models(df: DataFrame, model: str, metric: str) -> DataFrame:
-    from tallyframe.sources.sinks import model_order
-
-    prefix, num = model_order(F.col(model))
-    return df.orderBy(prefix, num.asc_nulls_last(), metric)
-
-
 def order_results(df: DataFrame, path: str, alias: str) -> DataFrame:
     """Rows in tree order (``path`` is ``group/subgroup/task``) with an indented name."""
     depth = F.size(F.split(path, "/")) - 1

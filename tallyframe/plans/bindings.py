@@ -14,14 +14,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a text table over the cores where its files give fewer scan tasks than that.
-
-    Text work is heavy per row; a table that is large enough fills the cluster by its own
-    file splits and is left as it is.
-    """
+    """Deal a text table out to the cores where it has fewer files than that; a file may be one unsplittable row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if tasks < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 # The full row in order, because (l_orderkey, l_linenumber) is not unique.

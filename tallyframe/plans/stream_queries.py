@@ -29,14 +29,14 @@ def stream_ngram_index(spark, sf):
 
 @query(
     "W2 J10",
-    """with d as (select distinct user_id, event_type from events) select event_type as task, count(*) as n from d group by 1""",
+    """select user_id, event_type as task, max(event_id) as event_id, max_by(value, event_id) as value from events group by 1, 2""",
 )
 def stream_scores(spark, sf):
     schema = B.table(spark, sf, "events").schema
     events = S.read_files(spark, sf, schema, "parquet", "events.parquet")
     base = fresh_folder(spark, "scores")
-    S.stream_scores(events, ["user_id", "event_type"], base + "/out", base + "/state").awaitTermination()
-    return spark.read.parquet(base + "/out").groupBy(F.col("event_type").alias("task")).agg(F.count("*").alias("n"))
+    S.stream_scores(events, ["user_id", "event_type"], "event_id", base + "/out", base + "/state").awaitTermination()
+    return spark.read.parquet(base + "/out").select("user_id", F.col("event_type").alias("task"), "event_id", "value")
 
 
 @query(

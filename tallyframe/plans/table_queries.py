@@ -85,7 +85,13 @@ def sample_log_rows(spark, sf):
     return sinks.sample_log_rows(rows).withColumn("arguments", F.to_json("arguments"))
 
 
-@query("S9")
+@query(
+    "S9",
+    """with t as (select 'model_' || (user_id % 3) as m, event_type as t, avg(value) as v, count(*) as n from events group by 1, 2)
+       select m as model, '{"results":{' || string_agg('"' || t || '":{"acc,none":' || round(v, 6) || '}', ',' order by t) || '},"n-samples":{'
+         || string_agg('"' || t || '":' || n, ',' order by t) || '},"versions":{' || string_agg('"' || t || '":1', ',' order by t)
+         || '},"n-shot":{' || string_agg('"' || t || '":0', ',' order by t) || '},"config":{"num_fewshot":"0"}}' as value from t group by m""",
+)
 def results_json(spark, sf):
     from tallyframe.operators.groups import task_scores
 
@@ -93,7 +99,7 @@ def results_json(spark, sf):
         F.concat(F.lit("model_"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("event_type").alias("task"), "value"
     )
     scores = task_scores(e, ["model", "task"], "value").select(
-        "model", "task", F.lit("acc").alias("metric"), F.lit("none").alias("filter"), "value", "n", F.lit(1).alias("version"), F.lit(0).alias("n_shot")
+        "model", "task", F.lit("acc").alias("metric"), F.lit("none").alias("filter"), F.round("value", 6).alias("value"), "n", F.lit(1).alias("version"), F.lit(0).alias("n_shot")
     )
     return sinks.results_json(scores, {"num_fewshot": "0"})
 
@@ -347,18 +353,27 @@ def disjoint_windows(spark, sf):
 
 @query(
     "P16",
-    """with h as (select lang, doc_id, sha256(text) as h from documents)
-       select lang, sha256(string_agg(h, '' order by doc_id)) as task_hash from h group by lang""",
+    """with h as (select lang, doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' || sha256(text) || sha256(lang)) as h,
+                 row_number() over (partition by lang order by doc_id) - 1 as p from documents),
+       b as (select lang, p // 100 as p, sha256(string_agg(h, '' order by p)) as h from h group by lang, p // 100),
+       c as (select lang, p // 100 as p, sha256(string_agg(h, '' order by p)) as h from b group by lang, p // 100)
+       select lang, sha256(string_agg(h, '' order by p)) as task_hash from c group by lang""",
 )
 def task_hashes(spark, sf):
-    d = R.sha_fingerprints(B.table(spark, sf, "documents").select("doc_id", "lang", "text"), ["doc_id", "lang"], "text", "lang")
-    return R.task_hashes(d, ["lang"], "doc_id", "prompt_hash")
+    d = B.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    doc = F.to_json(F.struct("doc_id", "lang"))
+    d = d.withColumn("sample_hash", R.fingerprint(doc, F.sha2("text", 256), F.sha2("lang", 256)))
+    return R.task_hashes(d, ["lang"], "doc_id", "sample_hash", block=100)
 
 
-@query("P16", "select o_orderkey, sha256(o_orderpriority) as prompt_hash, sha256(o_custkey::varchar) as target_hash from orders")
+@query(
+    "P16",
+    """select o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as doc_hash,
+       sha256(o_orderpriority) as prompt_hash, sha256(o_custkey::varchar) as target_hash from orders""",
+)
 def sha_fingerprints(spark, sf):
-    o = B.table(spark, sf, "orders")
-    return R.sha_fingerprints(o, ["o_orderkey", "o_orderstatus"], "o_orderpriority", "o_custkey").select("o_orderkey", "prompt_hash", "target_hash")
+    o = R.sha_fingerprints(B.table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus"], "o_orderpriority", "o_custkey")
+    return o.select("o_orderkey", "doc_hash", "prompt_hash", "target_hash")
 
 
 @query("P15", f"select doc_id from documents where len({B.sql_words('text')}) <= 100")

@@ -30,9 +30,11 @@ def build_session(name: str = "tallyframe", cpus: str | None = None) -> SparkSes
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch one only where none is set."""
+    """The shared folder that the cluster names; a scratch one only in local mode, where one machine has all tasks."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

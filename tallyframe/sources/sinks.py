@@ -40,15 +40,19 @@ def results_json(results: DataFrame, config: dict[str, str]) -> DataFrame:
     """
     key = F.concat_ws(",", "metric", "filter")
 
+    def ordered(k: Column, v: Column) -> Column:
+        return F.array_sort(F.collect_list(F.struct(k.alias("key"), v.alias("value"))))
+
     def entries(k: Column, v: Column) -> Column:
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(k.alias("key"), v.alias("value")))))
+        return F.map_from_entries(ordered(k, v))
 
     per_task = results.groupBy("model", "task").agg(
-        entries(key, F.col("value")).alias("metrics"), *[F.max(c).alias(c) for c in ("n", "version", "n_shot")]
+        ordered(key, F.col("value")).alias("metrics"), *[F.max(c).alias(c) for c in ("n", "version", "n_shot")]
     )
-    # maps cannot be ordered, so the tasks are ordered through their names
+    # maps cannot be ordered, so the metrics become maps after the tasks are in order
+    tasks = F.transform(ordered(F.col("task"), F.col("metrics")), lambda t: F.struct(t["key"], F.map_from_entries(t["value"])))
     per_model = per_task.groupBy("model").agg(
-        F.map_from_arrays(F.collect_list("task"), F.collect_list("metrics")).alias("results"),
+        F.map_from_entries(tasks).alias("results"),
         entries(F.col("task"), F.col("n")).alias("n-samples"),
         entries(F.col("task"), F.col("version")).alias("versions"),
         entries(F.col("task"), F.col("n_shot")).alias("n-shot"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.operators.ngrams import word_ngrams
+from tallyframe.operators.selection import keep_last
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str, files: str = "*", per_batch: int = 1000) -> DataFrame:
@@ -30,18 +31,22 @@ def stream_ngram_index(docs: DataFrame, key: str, text: str, n: int, out: str, c
     )
 
 
-def stream_scores(samples: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Append samples whose keys have no result yet, keeping one row per key.
+def stream_scores(samples: DataFrame, keys: list[str], newest: str, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Append samples whose keys have no result yet; of a batch's rows of one key, the one with the largest ``newest``.
 
-    Every batch writes its own folder and replaces it when it is run again, so a
-    repeated batch does not add rows twice.
+    Every batch writes its own folder and replaces it when it is run again, so a repeated batch does not add rows twice.
+    The folders are split by a hash of the keys; a batch reads only the buckets that it touches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys)
+        fresh = keep_last(batch, keys, F.col(newest)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
         if batch_id > 0:
-            done = batch.sparkSession.read.parquet(out).filter(F.col("batch_id") < batch_id).select(*keys)
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            done = batch.sparkSession.read.schema(f"{schema}, batch_id long, bucket long").parquet(out)
+            done = done.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)).select(*keys)
             fresh = fresh.join(done, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch_id={batch_id}")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields)
 
     return samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
