@@ -9,7 +9,8 @@
    text has bound its similarity with every other one, exactly; texts and pairs below the threshold by this bound are
    left out.
 
-A pair's signatures are compared in batches. A pair is dropped as soon as the posterior probability of reaching the
+A pair's signatures are compared in batches; open texts also have a sketch of ``SKETCH`` single bits of further minima as
+the last batch. A pair is dropped as soon as the posterior probability of reaching the
 threshold, from a uniform prior, falls below ``MISS``; the survivors are decided on their whole sets. A pair at the
 threshold shares no bucket with probability (1 - 0.85^5)^32, about 7e-9.
 
@@ -38,14 +39,16 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 #: Chosen probability of dropping a pair that reaches the threshold.
 MISS = 1e-5
+#: Bits of further minima, one each, that open texts are compared by before their sets are.
+SKETCH = 1024
 #: Members of one bucket that are compared at once.
 BLOCK = 256
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
-def factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240607)
-    draw = lambda: rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+def factors(seed: int = 20240607, n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    draw = lambda: rng.integers(1, 2**63, n, dtype=np.uint64)
     return draw() * np.uint64(2) + np.uint64(1), draw()
 
 
@@ -110,16 +113,44 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc_id", "set_a"])
 
 
-def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
-    """Fewest equal minima after each batch with which a pair goes on: P(Bin(n + 1, t) <= m) is the posterior."""
-    out, t = [], percent / 100
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
-        below, m = 0.0, -1
-        while below < miss:
-            m += 1
-            below += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-        out.append(m)
-    return out
+def least_equal(n: int, share: float, miss: float = MISS) -> int:
+    """Fewest equal ones among n with which the posterior of reaching ``share`` is at least ``miss``.
+
+    From a uniform prior the posterior is P(Bin(n + 1, share) <= m).
+    """
+    log = lambda m: math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(share) + (n + 1 - m) * math.log(1 - share)
+    below, m = 0.0, -1
+    while below < miss:
+        m += 1
+        below += math.exp(log(m))
+    return m
+
+
+def least_matches(percent: int = PERCENT) -> list[int]:
+    """Fewest equal minima after each batch with which a pair goes on."""
+    return [least_equal(n, percent / 100) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each of SKETCH further minima; two sets agree in a bit with probability (1 + similarity) / 2."""
+    a, b = factors(20240608, SKETCH)
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+        first = 0
+        while first < len(sets):
+            last, size = first, 0
+            while last < len(sets) and (last == first or size < 200_000):
+                size += len(sets[last])
+                last += 1
+            values = np.concatenate(sets[first:last])
+            heads = np.cumsum([0, *map(len, sets[first : last - 1])])
+            bits = np.empty((last - first, SKETCH), bool)
+            for k in range(SKETCH):
+                bits[:, k] = np.minimum.reduceat(values * a[k] + b[k], heads) >> np.uint64(32) & np.uint64(1)
+            packed = [row.tobytes() for row in np.packbits(bits, axis=1)]
+            columns = [batch.column(k).slice(first, last - first) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=["doc_id", "set_a", "sketch"])
+            first = last
 
 
 def pairs_that_go_on(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -164,6 +195,8 @@ def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
     sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(len(rows), BANDS * ROWS)
     size = np.array([r[8] for r in rows])
     shared = size - np.array([r[9] for r in rows])
+    sketch = np.frombuffer(b"".join(r[10] for r in rows), np.uint64).reshape(len(rows), SKETCH // 64)
+    least = least_equal(SKETCH, (1 + PERCENT / 100) / 2)
     if left == right:
         i, j = np.triu_indices(len(rows), 1)
     else:
@@ -177,6 +210,8 @@ def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
         a, b = i[first : first + 8192], j[first : first + 8192]
         live = pairs_that_go_on(sig[a], sig[b])
         a, b = a[live], b[live]
+        live = SKETCH - np.bitwise_count(sketch[a] ^ sketch[b]).sum(1).astype(np.int64) >= least
+        a, b = a[live], b[live]
         same = (sig[a] == sig[b]).reshape(len(a), BANDS, ROWS).all(2)
         here = np.argmax(same, 1) == band
         out_a += ids[a[here]].tolist()
@@ -256,12 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).filter("n = 1")
     alone = once.groupBy("doc_id", "set_a").agg(F.count("*").alias("alone"))
     sigs = sigs.join(alone, ["doc_id", "set_a"], "left").fillna(0, "alone")
-    open_ = open_.join(sigs.filter(f"100 * (n_shingles - alone) >= {PERCENT} * n_shingles"), "doc_id")
+    sigs = sigs.filter(f"100 * (n_shingles - alone) >= {PERCENT} * n_shingles")
+    sketches = own.join(cut(sigs.select("doc_id", "set_a")), ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id", "set_a"])
+    sketches = sketches.mapInArrow(_sketches, "doc_id long, set_a long, sketch binary")
+    open_ = open_.join(sigs.join(sketches, ["doc_id", "set_a"]), "doc_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "band", "key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "doc_id", "comp",
-        "signature", "n_shingles", "alone",
+        "signature", "n_shingles", "alone", "sketch",
     )
     group = ["band", "key", "left", "right"]
     more = open_.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare_blocks, "a long, b long").distinct()
