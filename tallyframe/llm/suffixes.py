@@ -29,7 +29,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import textnp
 from tallyframe.llm.registry import query
@@ -121,15 +121,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
     return groupby(rows, key=lambda r: r[0])
 
 
-def _anchor_blocks(parts: int):
+def _anchor_blocks(names: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             h, doc, rid, place = (np.concatenate(x) for x in zip(*held))
-            bucket = ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-            return _dealt(bucket, {"h": h >> np.uint64(12), "doc": doc, "rid": rid, "place": place})
+            bucket = ((h >> np.uint64(16)) % np.uint64(len(names))).astype(np.int64)
+            return _dealt(names[bucket], {"h": h >> np.uint64(12), "doc": doc, "rid": rid, "place": place})
 
         for batch in batches:
             data, at = textnp.buffers(batch.column(2))
@@ -147,7 +147,7 @@ def _anchor_blocks(parts: int):
     return run
 
 
-def _repeated_blocks(parts: int):
+def _repeated_blocks(names: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             blocks = [unpacked(r[1]) for r in rows]
@@ -158,7 +158,7 @@ def _repeated_blocks(parts: int):
                 continue
             mixed = np.minimum.reduceat(doc[order], head) != np.maximum.reduceat(doc[order], head)
             keep = np.sort(order[np.repeat(mixed, np.diff(np.append(head, len(h))))])
-            yield _dealt(np.mod(rid[keep], parts), {"doc": doc[keep], "rid": rid[keep], "place": place[keep]})
+            yield _dealt(names[np.mod(rid[keep], len(names))], {"doc": doc[keep], "rid": rid[keep], "place": place[keep]})
 
     return run
 
@@ -227,7 +227,7 @@ def range_slices(run: dict, cuts: np.ndarray) -> Iterator[tuple[int, dict]]:
         yield int(n), front_coded(inner | {"keys": run["keys"][first:last], "count": run["count"][first:last]})
 
 
-def _runs(parts: int, cuts: np.ndarray):
+def _runs(names: np.ndarray, cuts: np.ndarray):
     """Rows (part, kind, doc_id, rid, blob): per part first the places (kind 0), then its texts (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +247,9 @@ def _runs(parts: int, cuts: np.ndarray):
                 doc, rid = (np.repeat(np.array([t[k] for t in texts], np.int64), n) for k in (0, 1))
                 travel, spans = sorted_run(*surroundings(data, base, np.repeat(size, n), place), doc, rid, place)
                 slices = list(range_slices(travel, cuts)) if len(travel["keys"]) else []
-                settled = _dealt(np.mod(spans["rid"], parts), spans)
+                settled = _dealt(names[np.mod(spans["rid"], len(names))], spans)
                 kinds = [0] * len(slices) + [1] * len(settled)
-                numbers = [n for n, _ in slices] + settled.column(0).to_pylist()
+                numbers = [int(names[n]) for n, _ in slices] + settled.column(0).to_pylist()
                 blobs = [packed(**b) for _, b in slices] + settled.column(1).to_pylist()
                 return pa.RecordBatch.from_arrays(
                     [pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"]
@@ -405,11 +405,11 @@ def repeated_spans(blocks: list[dict]) -> dict:
     return {"doc": doc[hit], "rid": rid[hit], "start": place[hit] - last[hit], "end": place[hit] - first[hit] + LENGTH}
 
 
-def _merged(parts: int):
+def _merged(names: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             spans = repeated_spans([unpacked(r[1]) for r in rows])
-            yield _dealt(np.mod(spans["rid"], parts), spans)
+            yield _dealt(names[np.mod(spans["rid"], len(names))], spans)
 
     return run
 
@@ -450,12 +450,26 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = textnp.buffers(batch.column(2))
+def _compressed(names: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        blobs = [press.compress(data[at[i] : at[i + 1]].tobytes()) for i in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "rid", "blob"])
+        for batch in batches:
+            data, at = textnp.buffers(batch.column(2))
+            blobs = pa.array([press.compress(data[at[i] : at[i + 1]].tobytes()) for i in range(len(batch))], pa.binary())
+            part = names[np.mod(batch.column(1).to_numpy(zero_copy_only=False), len(names))]
+            columns = [pa.array(part, pa.int32()), pa.array(np.ones(len(batch)), pa.int32()), batch.column(0), batch.column(1), blobs]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "doc_id", "rid", "blob"])
+
+    return run
+
+
+def part_names(spark: SparkSession, parts: int) -> np.ndarray:
+    """One whole number for each of ``parts`` hash partitions, so that every partition gets exactly one block number."""
+    number = F.col("id").cast("int")
+    rows = spark.range(40 * parts).groupBy(F.pmod(F.hash(number), F.lit(parts)).alias("p")).agg(F.min(number).alias("k")).collect()
+    names = np.arange(parts, dtype=np.int32)
+    names[[r["p"] for r in rows]] = [r["k"] for r in rows]
+    return names
 
 
 def _range_cuts(rows: DataFrame, parts: int) -> np.ndarray:
@@ -483,22 +497,21 @@ def remove_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ``parts`` is the number of blocks that anchors, ranges and texts are dealt into; each must fit a task's memory.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = part_names(spark, parts)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("rid", F.xxhash64("doc_id", "text"))
     rows = rows.select("doc_id", "rid", "text")
     block = "part int, blob binary"
     dealt = lambda df, *order: df.repartition(parts, "part").sortWithinPartitions("part", *order)
-    texts = rows.mapInArrow(_compressed, "doc_id long, rid long, blob binary").select(
-        F.pmod("rid", F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "rid", "blob"
-    )
+    texts = rows.mapInArrow(_compressed(names), "part int, kind int, doc_id long, rid long, blob binary")
     zero = F.lit(0).cast("long")
     beside = lambda blocks: dealt(blocks.select("part", F.lit(0).alias("kind"), zero.alias("doc_id"), zero.alias("rid"), "blob").union(texts), "kind")
 
-    found = dealt(rows.mapInArrow(_anchor_blocks(parts), block)).mapInArrow(_repeated_blocks(parts), block)
-    runs = written(beside(found).mapInArrow(_runs(parts, _range_cuts(rows, parts)), "kind int, " + block), "runs")
-    spans = dealt(runs.filter("kind = 0").select("part", "blob")).mapInArrow(_merged(parts), block)
+    found = dealt(rows.mapInArrow(_anchor_blocks(names), block)).mapInArrow(_repeated_blocks(names), block)
+    runs = written(beside(found).mapInArrow(_runs(names, _range_cuts(rows, parts)), "kind int, " + block), "runs")
+    spans = dealt(runs.filter("kind = 0").select("part", "blob")).mapInArrow(_merged(names), block)
     spans = spans.union(runs.filter("kind = 1").select("part", "blob"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return beside(spans).mapInArrow(_removed, schema)
