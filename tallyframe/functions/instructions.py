@@ -195,22 +195,23 @@ def loose_variants(response: Column) -> Column:
     return let(F.split(response, "\n"), variants)
 
 
-def check_instructions(df: DataFrame, key: list[str], ids: str, kwargs: str, response: str, known: list[str] | None = None):
-    """Per document: instruction flags in order, strict and loose, and both all-true flags.
+def check_instructions(
+    df: DataFrame, key: list[str], ids: str, kwargs: str, response: str, known: list[str] | None = None, loose: bool = True
+) -> DataFrame:
+    """Per document: instruction flags in order, strict and (if asked) loose, and the all-true flags.
 
     ``ids``: array of instruction names; ``kwargs``: array of string maps. Variants and
     checks stay arrays of the row, so nothing is shuffled. ``known`` narrows the tests
-    to the instruction names that occur in the data.
+    to the instruction names that occur in the data. Without ``loose`` no variant is made.
     """
     pairs = F.arrays_zip(F.col(ids).alias("i"), F.col(kwargs).alias("k"))
     test = lambda r: F.transform(pairs, lambda p: follows(p["i"], p["k"], r, known))
+    all_true = lambda name: F.forall(f"inst_level_{name}", lambda f: f).alias(f"prompt_level_{name}")
+    if not loose:
+        return df.select(*key, test(F.col(response)).alias("inst_level_strict")).select("*", all_true("strict"))
     # the response itself comes first; equal variants are tested once
     table = F.transform(F.array_distinct(loose_variants(F.col(response))), test)
     flags = df.select(*key, table.alias("_t"))
     any_variant = F.transform(F.get("_t", F.lit(0)), lambda _, j: F.exists("_t", lambda row: F.get(row, j)))
     both = flags.select(*key, F.get("_t", F.lit(0)).alias("inst_level_strict"), any_variant.alias("inst_level_loose"))
-    return both.select(
-        "*",
-        F.forall("inst_level_strict", lambda f: f).alias("prompt_level_strict"),
-        F.forall("inst_level_loose", lambda f: f).alias("prompt_level_loose"),
-    )
+    return both.select("*", all_true("strict"), all_true("loose"))

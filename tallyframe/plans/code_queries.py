@@ -126,11 +126,25 @@ FLAGS = """[text not like '%,%', len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p
 
 @query("H51", f"select doc_id, array_to_string(list_transform({FLAGS}, lambda f: case when f then '1' else '0' end), '') as flags from documents")
 def check_instructions_strict(spark, sf):
-    out = I.check_instructions(instruction_rows(spark, sf), ["doc_id"], "ids", "kwargs", "text", known=IDS)
+    out = I.check_instructions(instruction_rows(spark, sf), ["doc_id"], "ids", "kwargs", "text", known=IDS, loose=False)
     return out.select("doc_id", F.array_join(F.transform("inst_level_strict", lambda f: f.cast("int").cast("string")), "").alias("flags"))
 
 
-@query("H51 A19")
+BARE = "regexp_replace(array_to_string({}, chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    "H51 A19",
+    f"""with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+       v as (select doc_id, 0 as k, text from d union all select doc_id, 1, {BARE.format('l[2:]')} from d
+             union all select doc_id, 2, {BARE.format('l[1:len(l) - 1]')} from d union all select doc_id, 3, {BARE.format('l[2:len(l) - 1]')} from d),
+       w as (select * from v union all select doc_id, k + 4, replace(text, '*', '') from v),
+       f as (select doc_id, k, list_transform({FLAGS}, lambda x: x and regexp_matches(text, '\\S')) as f from w),
+       a as (select doc_id, any_value(f) filter (where k = 0) as s, [{', '.join(f'bool_or(f[{i}])' for i in range(1, 9))}] as l from f group by doc_id),
+       n as (select list_sum(list_transform(s, lambda x: x::int)) as s, list_sum(list_transform(l, lambda x: x::int)) as l from a)
+       select avg((s = 8)::int) as prompt_level_strict_acc, avg(s / 8) as inst_level_strict_acc,
+              avg((l = 8)::int) as prompt_level_loose_acc, avg(l / 8) as inst_level_loose_acc from n""",
+)
 def instruction_accuracy(spark, sf):
     out = I.check_instructions(instruction_rows(spark, sf), ["doc_id"], "ids", "kwargs", "text", known=IDS)
     return out.agg(
@@ -139,7 +153,24 @@ def instruction_accuracy(spark, sf):
     )
 
 
-@query("H51")
+# Stated anew: the query must not take its word lists from the code that it checks.
+VOTES = {
+    "en": "the of and to in is that for it with was as on are by this", "fr": "le la les de des et un une que qui dans est pour pas en du",
+    "de": "der die das und ist nicht ein eine mit für auf von zu den sich sch", "es": "el la los las de y que en un una por con para es se no",
+    "it": "il la di che e un una per con non sono del si lo gli nel", "pt": "o a os as de e que um uma não para com em do da por",
+}
+VOTE_SQL = ", ".join(
+    f"struct_pack(n := len(list_filter(w, lambda x: list_contains(string_split('{known}', ' '), x))), i := -{i}, c := '{code}')"
+    for i, (code, known) in enumerate(VOTES.items())
+)
+
+
+@query(
+    "H51",
+    f"""with t as (select lang, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') as w from documents),
+       b as (select lang, list_max([{VOTE_SQL}]) as m from t)
+       select lang, case when m.n > 0 then m.c end as detected, count(*) as n from b group by 1, 2""",
+)
 def detected_language(spark, sf):
     d = B.table(spark, sf, "documents")
     return d.groupBy("lang", I.detect_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))

@@ -104,7 +104,14 @@ def rouge_l(spark, sf):
     return C.with_rouge_l(B.doc_pairs(spark, sf), "pred", "ref").select("doc_id", F.round("rouge_l", 9).alias("rouge_l"))
 
 
-@query("H31")
+@query(
+    "H31",
+    f"""with t as (select conv_id, turn, {RTOK('pred')} as p, {RTOK('ref')} as r, ['nothing', 'of', 'the', 'kind'] as f from {B.REPLIES_SQL}),
+       m as (select *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda a: a = w)), len(list_filter(r, lambda b: b = w))))), 0) as mt,
+                    coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda a: a = w)), len(list_filter(f, lambda b: b = w))))), 0) as mf from t),
+       s as (select conv_id, turn, case when mt > 0 then 2.0::double * mt / (len(p) + len(r)) else 0 end as t, case when mf > 0 then 2.0::double * mf / (len(p) + 4) else 0 end as f from m)
+       select conv_id, turn, t as rouge1_max, t - f as rouge1_diff, (t > f)::int as rouge1_acc from s""",
+)
 def true_false_rouge(spark, sf):
     """Similarity of a reply with the turn before it (true) and with a fixed wrong text (false)."""
     r = B.replies(spark, sf)

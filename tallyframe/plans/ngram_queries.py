@@ -121,7 +121,18 @@ def word_ngrams_indices(spark, sf):
     )
 
 
-@query("N4")
+# Hits in order, at most ten per document; what lies between the cuts, then what lies behind the last one.
+CHUNKS = f"""with h as (select s.doc_id, list(x order by x.s) as h from ({SPANS}) s
+         where {B.sql_normalize('x.g')} in (select ngram from {B.bench_ngrams_sql(13)}) group by 1),
+       d as (select doc_id, text, length(text) as n, coalesce(h, []) as h from documents left join h using (doc_id)),
+       c as (select doc_id, text, n, list_transform(h, lambda x: greatest(0, x.s - 200)) as f, list_transform(h, lambda x: least(n, x.e + 200)) as t from d where len(h) <= 10),
+       k as (select doc_id, text, list_filter(list_transform(range(1, len(f) + 1), lambda i: struct_pack(a := case when i = 1 then 0 else t[i - 1] end, b := f[i])), lambda p: p.b - p.a > 200)
+               || case when coalesce(t[-1], -1) < n - 200 then [struct_pack(a := coalesce(t[-1], -1) + 1, b := n)] else [] end as p from c),
+       e as (select doc_id, text, unnest(range(1, len(p) + 1)) as i, p from k)
+       select doc_id, (i - 1)::int as chunk_id, substr(text, p[i].a + 1, p[i].b - p[i].a) as chunk from e"""
+
+
+@query("N4", CHUNKS)
 def clean_corpus(spark, sf):
     dirt = N.register_contaminants(bench(spark, sf), "text", n13)
     return N.clean_corpus(docs(spark, sf), "doc_id", "text", dirt)
