@@ -33,6 +33,7 @@ MIN_RATIO, MIN_EVIDENCE = 4.0, 10.0
 #: Features with less evidence either way get no weight.
 USE_EVIDENCE = 4.0
 VOCABULARY = 40_000
+BUCKETS = 1 << 22
 ROUNDS = 20
 BLOCK = 64
 FAINT = 0.1
@@ -191,6 +192,58 @@ def one_per_family(texts: list[str]) -> list[int]:
     return out
 
 
+def token_chunks(texts: list[str], rows: int = 250) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, token features and token offsets of some rows at a time."""
+    for first in range(0, len(texts), rows):
+        _, _, bounds, features = tokens(*textnp.buffers(pa.array(texts[first : first + rows], pa.large_string())))
+        yield first, features, bounds
+
+
+def document_counts(texts: list[str], toxic: np.ndarray, key, size: int) -> np.ndarray:
+    """Number of clean and toxic documents (2 x size) that hold each key; ``key`` maps features to 0 .. size - 1 or -1."""
+    out = np.zeros((2, size), np.int32)
+    for first, features, bounds in token_chunks(texts):
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        keys = key(features)
+        pair = np.unique((keys + row[:, None] * size)[(keys >= 0) & (features != 0)])
+        for y in (0, 1):
+            own = pair[toxic[first + pair // size] == y] % size
+            np.add.at(out[y], own, 1)
+    return out
+
+
+def support(documents: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio and ratio of rates of features counted in clean and toxic documents."""
+    n = [int((toxic == y).sum()) for y in (0, 1)]
+    ratio = ((documents[1] + 0.5) / (n[1] + 1)) / ((documents[0] + 0.5) / (n[0] + 1))
+    seen, prior = documents.sum(0), n[1] / (n[0] + n[1])
+    share = np.clip(documents[1] / np.maximum(seen, 1), 1e-12, 1 - 1e-12)
+    return seen * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior))), ratio
+
+
+def supported_features(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the features with evidence either way, and their document counts.
+
+    Hash buckets are counted first, so the many rare features need no table of their own; features in buckets with
+    evidence are then counted exactly.
+    """
+    buckets = document_counts(texts, toxic, lambda f: (f & np.uint64(BUCKETS - 1)).astype(np.int64), BUCKETS)
+    open_ = support(buckets, toxic)[0] >= USE_EVIDENCE
+    some = [np.unique(f[open_[(f & np.uint64(BUCKETS - 1)).astype(np.int64)]]) for _, f, _ in token_chunks(texts)]
+    hashes = np.unique(np.concatenate(some))
+    hashes = hashes[hashes != 0]
+
+    def place(f: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
+        return np.where(hashes[at] == f, at, -1) if len(hashes) else np.full(f.shape, -1)
+
+    documents = document_counts(texts, toxic, place, max(len(hashes), 1))[:, : len(hashes)]
+    evidence = support(documents, toxic)[0]
+    use = np.flatnonzero(evidence >= USE_EVIDENCE)
+    use = np.sort(use[np.argsort(-evidence[use], kind="stable")[:VOCABULARY]])
+    return hashes[use], documents[:, use]
+
+
 def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> Model:
     """Train on a bounded sample; ``shares`` are the numbers of (clean, toxic) documents that it stands for."""
     rate = shares[1] / max(sum(shares), 1)
@@ -201,43 +254,39 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> Mod
     texts, toxic = [texts[i] for i in alone], toxic[alone]
     if not 0 < toxic.sum() < len(toxic):
         return none
-    data, at = textnp.buffers(pa.array(texts, pa.large_string()))
-    _, _, bounds, features = tokens(data, at)
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    keys, inverse = np.unique(features, return_inverse=True)
-    inverse = inverse.reshape(features.shape)
-    pair = np.unique((inverse.astype(np.int64) * len(texts) + row[:, None]).ravel())
-    of, doc = pair // len(texts), pair % len(texts)
-    docs = [np.bincount(of[toxic[doc] == y], minlength=len(keys)) for y in (0, 1)]
-    n = [int((toxic == y).sum()) for y in (0, 1)]
-    ratio = ((docs[1] + 0.5) / (n[1] + 1)) / ((docs[0] + 0.5) / (n[0] + 1))
-    seen, prior = docs[0] + docs[1], n[1] / (n[0] + n[1])
-    share = np.clip(docs[1] / np.maximum(seen, 1), 1e-12, 1 - 1e-12)
-    evidence = seen * (share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior)))
-    marks = (evidence >= MIN_EVIDENCE) & (ratio >= MIN_RATIO) & (keys != 0)
-    label = marks[inverse].any(1) & (toxic[row] == 1)
+    chosen, documents = supported_features(texts, toxic)
+    evidence, ratio = support(documents, toxic)
+    marks = (evidence >= MIN_EVIDENCE) & (ratio >= MIN_RATIO)
+    if not marks.any():
+        return none
+    model = Model(chosen, np.zeros(len(chosen) + 1), 0.0, np.ones((2, 2)), np.zeros(3), rate)
+    found, bounds = [], [np.zeros(1, np.int64)]
+    for _, features, own in token_chunks(texts):
+        found.append(model.known(features).astype(np.int32))
+        bounds.append(own[1:] + bounds[-1][-1])
+    found, bounds = np.concatenate(found), np.concatenate(bounds)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
+    label = np.append(marks, False)[found].any(1) & (toxic[row] == 1)
     if not label.any():
         return none
-    use = np.flatnonzero((evidence >= USE_EVIDENCE) & (keys != 0))
-    use = np.sort(use[np.argsort(-evidence[use], kind="stable")[:VOCABULARY]])
-    model = Model(keys[use], np.zeros(len(use) + 1), float(np.log(label.mean())), np.ones((2, 2)), np.zeros(3), rate)
-    found = model.known(features)
+    model.bias = float(np.log(label.mean()))
+    n = [int((toxic == y).sum()) for y in (0, 1)]
     counts = np.zeros((2, 2))
     before = np.concatenate([[0], label[:-1].astype(int)])
     before[bounds[:-1][np.diff(bounds) > 0]] = 0
     np.add.at(counts, (before, label.astype(int)), 1)
     theta, target = np.zeros((2, 2)), counts
-    speed = [np.full(len(use) + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
+    speed = [np.full(len(chosen) + 1, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     parts = np.unique(np.append(np.searchsorted(bounds[:-1], np.arange(0, len(row), 200_000)), len(texts)))
     parts[0] = 0
     for _ in range(ROUNDS):
-        slope, pairs = np.zeros(len(use) + 1), np.zeros((2, 2))
+        slope, pairs = np.zeros(len(chosen) + 1), np.zeros((2, 2))
         for a, b in zip(parts[:-1], parts[1:]):
             lo, hi = bounds[a], bounds[b]
             chain = Chain(model.emissions(found[lo:hi]), bounds[a : b + 1] - lo, model.trans)
             rest = label[lo:hi] - chain.marginals(hi - lo)
             for k in range(found.shape[1]):
-                slope += np.bincount(found[lo:hi, k], rest, len(use) + 1)
+                slope += np.bincount(found[lo:hi, k], rest, len(chosen) + 1)
             pairs += chain.expected_pairs()
         slope[-1] = 0
         slope -= 1e-2 * model.weights
