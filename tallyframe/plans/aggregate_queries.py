@@ -13,14 +13,14 @@ from tallyframe.plans.registry import query
 @query(
     "A1 A2 A3 A29",
     """select event_type as task, round(avg(value), 6) as mean,
-       round(avg(case when value < 1000 then value end), 6) as nanmean,
+       round(avg(case when value < 100 then value end), 6) as nanmean,
        round(count(value) / sum(1 / (value + 0.01)), 6) as harmonic,
        round(stddev_pop(value), 6) as pop_stddev, round(stddev_samp(value), 6) as sample_stddev,
        round(stddev_samp(value) / sqrt(count(value)), 6) as stderr
        from events group by event_type""",
 )
 def task_means(spark, sf):
-    e = B.table(spark, sf, "events").withColumn("v", F.when(F.col("value") < 1000, F.col("value")).otherwise(F.lit(float("nan"))))
+    e = B.table(spark, sf, "events").withColumn("v", F.when(F.col("value") < 100, F.col("value")).otherwise(F.lit(float("nan"))))
     r = lambda c, name: F.round(c, 6).alias(name)
     return e.groupBy(F.col("event_type").alias("task")).agg(
         r(A.mean("value"), "mean"),
@@ -164,8 +164,8 @@ def all_answers_right(spark, sf):
 
 
 BIAS_SQL = """(select event_type as category, (value > 20)::int::double as acc,
-  case when value < 500 then (event_id % 3 = 0)::int::double end as biased,
-  case when value < 500 then (event_id % 7 <> 0)::int::double end as non_unknown, user_id % 2 = 0 as disambiguated from events)"""
+  case when value < 50 then (event_id % 3 = 0)::int::double end as biased,
+  case when value < 50 then (event_id % 7 <> 0)::int::double end as non_unknown, user_id % 2 = 0 as disambiguated from events)"""
 
 
 @query(
@@ -178,7 +178,7 @@ BIAS_SQL = """(select event_type as category, (value > 20)::int::double as acc,
         round((1 - aa) * case when ba = 0 then 0 else 2.0 * ba / na - 1 end, 9) as amb_bias_score from s""",
 )
 def bias_scores(spark, sf):
-    known = F.col("value") < 500
+    known = F.col("value") < 50
     e = B.table(spark, sf, "events").select(
         F.col("event_type").alias("category"),
         (F.col("value") > 20).cast("double").alias("acc"),
@@ -281,7 +281,7 @@ def combined_stderr(spark, sf):
 
 @query(
     "A34",
-    """with s as (select event_type as task, 'value' as metric, 'none' as filter, value from events where value > 1
+    """with s as (select event_type as task, 'value' as metric, 'none' as filter, value from events
        union all select event_type, 'flag', 'strict', (value > 10)::int::double from events),
        t as (select event_type as task, 1 as version, 0 as n_shot, count(*) as n_original, event_type <> 'error' as higher_is_better
              from events group by event_type)
@@ -291,7 +291,7 @@ def combined_stderr(spark, sf):
 )
 def results_consolidate(spark, sf):
     e = B.table(spark, sf, "events").withColumnRenamed("event_type", "task")
-    a = e.filter("value > 1").select("task", F.lit("value").alias("metric"), F.lit("none").alias("filter"), "value")
+    a = e.select("task", F.lit("value").alias("metric"), F.lit("none").alias("filter"), "value")
     b = e.select("task", F.lit("flag").alias("metric"), F.lit("strict").alias("filter"), (F.col("value") > 10).cast("double").alias("value"))
     tasks = e.groupBy("task").agg(F.count("*").alias("n_original")).select(
         "task", F.lit(1).alias("version"), F.lit(0).alias("n_shot"), "n_original", (F.col("task") != "error").alias("higher_is_better")

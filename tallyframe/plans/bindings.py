@@ -38,14 +38,14 @@ ATTEMPTS_SQL = f"""(
   from lineitem)"""
 
 
-def choice_scores(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
+def choice_scores(spark: SparkSession, sf: str, n: int = 64) -> DataFrame:
     """Log-likelihoods of n choices with a gold index, from the embedding vectors."""
     e = table(spark, sf, "embeddings")
     lls = F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double"))
     return e.select(F.col("vec_id").alias("doc_id"), lls.alias("lls"), F.col("label").alias("gold"))
 
 
-def choice_scores_sql(n: int = 10) -> str:
+def choice_scores_sql(n: int = 64) -> str:
     return f"(select vec_id as doc_id, list_transform(embedding[1:{n}], lambda x: x::double) as lls, label as gold from embeddings)"
 
 

@@ -85,7 +85,7 @@ def loglikelihood_score(spark, sf):
     return out.select("vec_id", F.round("s.perplexity", 9).alias("perplexity"), "s.acc")
 
 
-CHOICES = "list_transform(range(1, 11), lambda i: repeat('x', i::int))"
+CHOICES = "list_transform(range(1, 65), lambda i: repeat('x', i::int))"
 
 
 @query(
@@ -96,8 +96,8 @@ CHOICES = "list_transform(range(1, 11), lambda i: repeat('x', i::int))"
 )
 def choice_scores(spark, sf):
     c = B.choice_scores(spark, sf)
-    choices = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.repeat(F.lit("x"), i))
-    greedy = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i % 2 == 0)
+    choices = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.repeat(F.lit("x"), i))
+    greedy = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i % 2 == 0)
     out = c.select("doc_id", "gold", L.choice_scores(F.col("lls"), greedy, choices, F.col("gold")).alias("s"))
     return out.select("doc_id", "s.acc", "s.acc_norm", "s.exact_match", F.round(F.get("s.probs", F.col("gold")), 9).alias("prob"))
 
@@ -109,7 +109,7 @@ def choice_scores(spark, sf):
 )
 def multi_gold_scores(spark, sf):
     c = B.choice_scores(spark, sf)
-    choices = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.repeat(F.lit("x"), i))
+    choices = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.repeat(F.lit("x"), i))
     golds = F.array(F.col("gold"), (F.col("gold") + 3) % 10, F.lit(99))
     greedy = F.transform("lls", lambda x: x > 0)
     return c.select("doc_id", L.multi_gold_scores(F.col("lls"), greedy, choices, golds)["acc"].alias("acc"))
@@ -117,13 +117,13 @@ def multi_gold_scores(spark, sf):
 
 @query(
     "H10",
-    """with s as (select vec_id, label, list_transform(range(1, 11), lambda i: embedding[i]::double - embedding[i + 10]::double) as d from embeddings)
+    """with s as (select vec_id, label, list_transform(range(1, 33), lambda i: embedding[i]::double - embedding[i + 32]::double) as d from embeddings)
        select vec_id, (list_position(d, list_max(d)) - 1 = label)::int::double as acc from s""",
 )
 def mutual_info_accuracy(spark, sf):
     e = B.table(spark, sf, "embeddings")
-    d = lambda a: F.transform(F.slice("embedding", a, 10), lambda x: x.cast("double"))
-    return e.select("vec_id", L.mutual_info_acc(d(1), d(11), F.col("label")).alias("acc"))
+    d = lambda a: F.transform(F.slice("embedding", a, 32), lambda x: x.cast("double"))
+    return e.select("vec_id", L.mutual_info_acc(d(1), d(33), F.col("label")).alias("acc"))
 
 
 @query("H11", "select doc_id, -0.5 * n_chars as ll, len(string_split_regex(text, '\\s+'))::int as words, octet_length(encode(text))::int as bytes from documents")
@@ -138,7 +138,7 @@ def rolling_score(spark, sf):
         from {B.choice_scores_sql()}""",
 )
 def probability_mass(spark, sf):
-    labels = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i % 3 == 0).cast("int"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 3 == 0).cast("int"))
     return B.choice_scores(spark, sf).select("doc_id", F.round(L.prob_mass_true(F.col("lls"), labels), 9).alias("acc"))
 
 

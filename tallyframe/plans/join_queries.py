@@ -15,11 +15,12 @@ def solutions(spark, sf):
 
 
 def problems(spark, sf):
-    c = B.table(spark, sf, "customer").filter("c_acctbal > 0")
-    return c.select(F.col("c_custkey").alias("task_id"), "c_mktsegment")
+    """All customers, with every seventh key moved out of the orders' key range, so that both sides miss some."""
+    key = F.col("c_custkey")
+    return B.table(spark, sf, "customer").select(F.when(key % 7 == 0, -key).otherwise(key).alias("task_id"), "c_mktsegment")
 
 
-PROBLEMS = "(select c_custkey as task_id, c_mktsegment from customer where c_acctbal > 0)"
+PROBLEMS = "(select case when c_custkey % 7 = 0 then -c_custkey else c_custkey end as task_id, c_mktsegment from customer)"
 SOLUTIONS = "(select o_custkey as task_id, o_orderkey as completion_id, o_orderstatus from orders)"
 
 
@@ -55,11 +56,11 @@ def runs(spark, sf):
 
 @query(
     "J7",
-    f"select question, category, max(gold) as gold, " + ", ".join(f"max(case when seed = {i} then answer end) as answer_{i}" for i in (1, 2, 3))
+    f"select question, category, max(gold) as gold, " + ", ".join(f"max(case when seed = {i} then answer end) as answer_{i}" for i in range(1, 8))
     + f" from {RUNS_SQL} group by 1, 2",
 )
 def merge_seed_runs(spark, sf):
-    return J.merge_seed_runs(runs(spark, sf), ["question", "category"], "seed", [1, 2, 3], "answer", "gold")
+    return J.merge_seed_runs(runs(spark, sf), ["question", "category"], "seed", list(range(1, 8)), "answer", "gold")
 
 
 @query("J7 A23", f"with c as (select seed, category, avg((answer = gold)::int) as a from {RUNS_SQL} group by 1, 2) select seed, round(avg(a), 4) as accuracy from c group by seed")

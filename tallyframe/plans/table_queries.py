@@ -22,13 +22,13 @@ def eval_table(spark, sf):
 
 @query(
     "S2 U1",
-    """select 'urgent' as type, o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT'
-       union all select 'low', o_orderkey, o_totalprice from orders where o_orderpriority = '5-LOW'""",
+    "select lower(split_part(o_orderpriority, '-', 2)) as type, o_orderkey, o_totalprice from orders",
 )
 def union_subsets(spark, sf):
     o = B.table(spark, sf, "orders")
     part = lambda p: o.filter(F.col("o_orderpriority") == p).select("o_orderkey", "o_totalprice")
-    return tables.union_subsets({"urgent": part("1-URGENT"), "low": part("5-LOW")})
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return tables.union_subsets({p.split("-", 1)[1].lower(): part(p) for p in names})
 
 
 @query(
