@@ -25,7 +25,7 @@ def bootstrap_stderr(
     (a value seen c times gets one Poisson(c) weight), every task adds up its weighted
     sums for all resamples, and only those partial sums are shuffled.
 
-    Rows with a null in any sum do not count. A null group is a group; without ``by`` the whole table is one.
+    Rows with a null in any sum do not count, nor does a resample that draws no row. A null group is a group; without ``by`` the whole table is one.
     """
     names, asked = list(sums), by
     df = df.withColumn("_all", F.lit(0))
@@ -64,5 +64,5 @@ def bootstrap_stderr(
 
     parts = cells.mapInPandas(partial_sums, schema)
     per_iter = parts.groupBy(*by, "_iter").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
-    stat = per_iter.select(*by, statistic({c: F.col(c) for c in ["n", *names]}).alias("s"))
+    stat = per_iter.filter("n > 0").select(*by, statistic({c: F.col(c) for c in ["n", *names]}).alias("s"))
     return stat.groupBy(*by).agg(F.stddev_samp("s").alias("stderr")).select(*asked, "stderr")

@@ -99,8 +99,8 @@ def shuffle_choices(df: DataFrame, key: str, choices: str, gold: str, seed: int
 # ---------------------------------------------------------------- templates
 
 FIELD = re.compile(r"\{\{\s*(.*?)\s*\}\}")
-REPLACE = re.compile(r"""\|\s*regex_replace\(\s*(['"])(.*?)\1\s*,\s*(['"])(.*?)\3\s*(?:,\s*(\d+)\s*)?\)""")
-PART = re.compile(r"\.(strip|lstrip|rstrip|lower|upper|title)\(\)|\[(-?\d+)\]|\.(\w+)|\|\s*(\w+)")
+REPLACE = re.compile(r"""\s*\|\s*regex_replace\(\s*(['"])(.*?)\1\s*,\s*(['"])(.*?)\3\s*(?:,\s*(\d+)\s*)?\)""")
+PART = re.compile(r"\.(strip|lstrip|rstrip|lower|upper|title)\(\)|\[(-?\d+)\]|\.(\w+)|\s*\|\s*(\w+)")
 
 
 def regex_replace(col: Column, pattern: str, repl: str, count: int = 0) -> Column:

@@ -116,14 +116,14 @@ def shuffle_choices(spark, sf):
 @query(
     "P11 F6",
     f"""select doc_id, 'Question: ' || trim(question) || chr(10) || 'A. ' || options[1] || chr(10) || 'B. ' || options[2] || chr(10) || 'C. ' || options[3] || chr(10) || 'Answer:' as prompt,
-        options[1] || ' / ' || upper(options[3]) as extra, options[answer_index + 1] as target from {ITEMS_SQL}""",
+        options[1] || ' / ' || upper(regexp_replace(options[3], '[aeiou]+', '_', 'g')) as extra, options[answer_index + 1] as target from {ITEMS_SQL}""",
 )
 def render_template(spark, sf):
     it = items(spark, sf).withColumn("listed", P.option_list(F.col("options")))
     return it.select(
         "doc_id",
         P.render_template("Question: {{question.strip()}}\n{{listed}}Answer:", it.columns).alias("prompt"),
-        P.render_template("{{options[0]}} / {{options[-1]|upper}}", it.columns).alias("extra"),
+        P.render_template("{{options[0]}} / {{options[-1]|regex_replace('[aeiou]+', '_')|upper}}", it.columns).alias("extra"),
         P.target_value(F.col("answer_index").cast("string"), F.col("options")).alias("target"),
     )
 

@@ -75,10 +75,10 @@ def test_combine_shards_rejects_overlap(spark):
 def test_score_stream_resumes(spark, tmp_path):
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     schema = "doc_id long, attempt int, score double"
-    spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.5), (2, 1, 1.0)], schema).write.parquet(str(src / "a"))
+    spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.25), (2, 1, 1.0)], schema).write.parquet(str(src / "a"))
     read = lambda: resume.read_files(spark, str(src / "*"), spark.createDataFrame([], schema).schema, "parquet", "*.parquet")
-    resume.stream_scores(read(), ["doc_id", "attempt"], out, state).awaitTermination()
+    resume.stream_scores(read(), ["doc_id", "attempt"], "score", out, state).awaitTermination()
     spark.createDataFrame([(2, 1, 0.0), (3, 1, 0.0)], schema).write.parquet(str(src / "b"))
-    resume.stream_scores(read(), ["doc_id", "attempt"], out, state).awaitTermination()
+    resume.stream_scores(read(), ["doc_id", "attempt"], "score", out, state).awaitTermination()
     got = {(r["doc_id"], r["score"]) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 0.5), (2, 1.0), (3, 0.0)}
