@@ -178,11 +178,9 @@ def all_answers_right(df: DataFrame, keys: list[str], correct: Column) -> DataFr
 def acc_all(df: DataFrame, paragraph: str, question: str, correct: Column) -> DataFrame:
     """Mean over (paragraph, question), with the stderr over questions alone."""
     per_pair = all_answers_right(df, [paragraph, question], correct)
-    per_question = per_pair.groupBy(question).agg(F.min("all_right").alias("all_right"))
-    value = per_pair.agg(F.avg("all_right").alias("acc_all"))
-    err = per_question.agg(mean_stderr("all_right").alias("acc_all_stderr"))
-    one = F.lit(1).alias("_one")
-    return value.select("*", one).join(err.select("*", one), "_one").drop("_one")
+    right = F.col("all_right").cast("double")
+    per_question = per_pair.groupBy(question).agg(F.sum(right).alias("_right"), F.count("all_right").alias("_n"), F.min(right).alias("_all"))
+    return per_question.agg((F.sum("_right") / F.sum("_n")).alias("acc_all"), mean_stderr("_all").alias("acc_all_stderr"))
 
 
 def arrival_median(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import registry as R
 from tallyframe.plans import bindings as B
+from tallyframe.plans import evaluate as E
 from tallyframe.plans.evaluate import evaluate_generation
 from tallyframe.plans.registry import query
 from tallyframe.session import checkpoint_dir
@@ -57,6 +58,60 @@ def evaluate_documents(spark, sf):
     return out.withColumn("value", F.round("value", 9)).withColumn("stderr", F.round("stderr", 9))
 
 
+def rounded(out):
+    return out.withColumn("value", F.round("value", 8)).withColumn("stderr", F.round("stderr", 8))
+
+
+RESULT = "round({v}, 8) as value, {s} as stderr, {n} as n, {h} as higher_is_better"
+MEAN = lambda c: f"round(avg({c}), 8) as value, round(stddev_samp({c}) / sqrt(count(*)), 8) as stderr, count(*) as n, true as higher_is_better"
+
+
+@query(
+    "F1 F2 H8 A34",
+    f"""with r as (select (label % 3)::varchar as task, embedding[1]::double as ll, (embedding[2] > 0)::int as g from embeddings)
+       select task, 'perplexity' as metric, {RESULT.format(v='exp(-avg(ll))', s='null::double', n='count(*)', h='false')} from r group by task
+       union all select task, 'acc', {MEAN('g')} from r group by task""",
+)
+def evaluate_loglikelihood(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    requests = e.select((F.col("label") % 3).cast("string").alias("task"), "vec_id")
+    responses = e.select("vec_id", F.col("embedding")[0].cast("double").alias("ll"), (F.col("embedding")[1] > 0).alias("is_greedy"))
+    return rounded(E.evaluate_loglikelihood(requests, responses, ["vec_id"]))
+
+
+@query(
+    "F1 F2 H9 A13 A34",
+    f"""with r as (select (label % 3)::varchar as task, label as gold, list_transform(embedding, lambda x: x::double) as l,
+         list_transform(embedding, lambda x, i: x::double / (1 + i % 7)) as z from embeddings),
+       s as (select task, gold, (list_position(l, list_max(l)) - 1 = gold)::int::double as acc, (list_position(z, list_max(z)) - 1 = gold)::int::double as norm,
+         (l[gold + 1] > 0)::int as em from r)
+       select task, 'acc' as metric, {MEAN('acc')} from s group by task union all select task, 'acc_norm', {MEAN('norm')} from s group by task
+       union all select task, 'exact_match', {MEAN('em')} from s group by task""",
+)
+def evaluate_multiple_choice(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    rows = e.select("vec_id", F.posexplode("embedding").alias("idx", "ll"))
+    responses = rows.select(
+        "vec_id", "idx", F.col("ll").cast("double").alias("ll"), (F.col("ll") > 0).alias("is_greedy"), F.repeat(F.lit("x"), 1 + (F.col("idx") + 1) % 7).alias("choice")
+    )
+    golds = e.select((F.col("label") % 3).cast("string").alias("task"), "vec_id", F.col("label").alias("gold"))
+    return rounded(E.evaluate_multiple_choice(responses, golds, "vec_id", ["acc", "acc_norm", "exact_match"]))
+
+
+@query(
+    "F1 F2 H11 A6 A7 A34",
+    f"""with r as (select lang as task, -0.5 * (length(text) - (len(string_split(text, chr(10))) - 1)) as ll,
+         len(string_split_regex(text, '\\s+')) as w, octet_length(encode(text)) as b from documents)
+       select task, 'word_perplexity' as metric, {RESULT.format(v='exp(-sum(ll) / sum(w))', s='null::double', n='count(*)', h='false')} from r group by task
+       union all select task, 'byte_perplexity', {RESULT.format(v='exp(-sum(ll) / sum(b))', s='null::double', n='count(*)', h='false')} from r group by task
+       union all select task, 'bits_per_byte', {RESULT.format(v='-sum(ll) / sum(b) / ln(2)', s='null::double', n='count(*)', h='false')} from r group by task""",
+)
+def evaluate_rolling(spark, sf):
+    d = B.table(spark, sf, "documents").select(F.col("lang").alias("task"), "doc_id", "text")
+    windows = d.select("doc_id", F.explode(F.split("text", "\n")).alias("w")).select("doc_id", (F.length("w") * -0.5).alias("ll"))
+    return rounded(E.evaluate_rolling(windows, d, "doc_id", "text"))
+
+
 @query(
     "F1 A24",
     """select p_partkey, case when 50 - p_size < 3 then 1.0 else round(1 - (50.0 - p_size) * (49 - p_size) * (48 - p_size) / (50 * 49 * 48), 9) end as pass_at_3 from part""",
