@@ -9,8 +9,8 @@
    text has bound its similarity with every other one, exactly; texts and pairs below the threshold by this bound are
    left out.
 
-A pair's signatures are compared in batches; open texts also have a sketch of ``SKETCH`` single bits of further minima as
-the last batch. A pair is dropped as soon as the posterior probability of reaching the
+A pair's signatures are compared in batches: minima at anchors, and among open texts a sketch of ``SKETCH`` single bits of
+further minima, which says more per byte that travels. A pair is dropped as soon as the posterior probability of reaching the
 threshold, from a uniform prior, falls below ``MISS``; the survivors are decided on their whole sets. A pair at the
 threshold shares no bucket with probability (1 - 0.85^5)^32, about 7e-9.
 
@@ -40,7 +40,7 @@ BATCH = 32
 #: Chosen probability of dropping a pair that reaches the threshold.
 MISS = 1e-5
 #: Bits of further minima, one each, that open texts are compared by before their sets are.
-SKETCH = 1024
+SKETCH, BITS = 1024, 256
 #: Members of one bucket that are compared at once.
 BLOCK = 256
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
@@ -186,17 +186,23 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+def sketch_pairs_that_go_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the sketch pairs that survive every batch of bits."""
+    live, equal, words = np.arange(len(a)), np.zeros(len(a), np.int64), BITS // 64
+    for i, n in enumerate(range(BITS, SKETCH + 1, BITS)):
+        part = slice(i * words, (i + 1) * words)
+        equal[live] += BITS - np.bitwise_count(a[live, part] ^ b[live, part]).sum(1).astype(np.int64)
+        live = live[equal[live] >= least_equal(n, (1 + PERCENT / 100) / 2)]
+    return live
+
+
 def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
     """Surviving pairs between the components of one block pair; a pair counts in its lowest common band only."""
     band, left, right = rows[0][0], rows[0][2], rows[0][3]
-    ids = np.array([r[5] for r in rows])
-    comp = np.array([r[6] for r in rows])
-    side = np.array([r[4] for r in rows])
-    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(len(rows), BANDS * ROWS)
-    size = np.array([r[8] for r in rows])
-    shared = size - np.array([r[9] for r in rows])
+    side, ids, comp, size, alone = (np.array([r[k] for r in rows]) for k in range(4, 9))
+    bands = np.array([r[9] for r in rows], np.int32)
     sketch = np.frombuffer(b"".join(r[10] for r in rows), np.uint64).reshape(len(rows), SKETCH // 64)
-    least = least_equal(SKETCH, (1 + PERCENT / 100) / 2)
+    shared = size - alone
     if left == right:
         i, j = np.triu_indices(len(rows), 1)
     else:
@@ -208,12 +214,9 @@ def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
     out_a, out_b = [], []
     for first in range(0, len(i), 8192):
         a, b = i[first : first + 8192], j[first : first + 8192]
-        live = pairs_that_go_on(sig[a], sig[b])
-        a, b = a[live], b[live]
-        live = SKETCH - np.bitwise_count(sketch[a] ^ sketch[b]).sum(1).astype(np.int64) >= least
+        live = sketch_pairs_that_go_on(sketch[a], sketch[b])
         a, b = a[live], b[live]
-        same = (sig[a] == sig[b]).reshape(len(a), BANDS, ROWS).all(2)
-        here = np.argmax(same, 1) == band
+        here = np.argmax(bands[a] == bands[b], 1) == band
         out_a += ids[a[here]].tolist()
         out_b += ids[b[here]].tolist()
     return out_a, out_b
@@ -272,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed.join(buckets, ["band", "key"]).select("band", "key", "doc_id", "members", F.col("low").bitwiseXOR(flip).alias("anchor"))
     )
     ids = cut(members.select("doc_id").distinct())
-    sigs = reps.join(ids, "doc_id", "left_semi").select("doc_id", "set_a", "n_shingles", "signature")
+    known = reps.join(ids, "doc_id", "left_semi")
+    sigs = known.select("doc_id", "n_shingles", "signature")
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_a long, shingles binary")
     sets = written(sets, "shingles")
 
@@ -290,16 +294,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("set_a").alias("set_a")
     ).filter("n = 1")
     alone = once.groupBy("doc_id", "set_a").agg(F.count("*").alias("alone"))
-    sigs = sigs.join(alone, ["doc_id", "set_a"], "left").fillna(0, "alone")
-    sigs = sigs.filter(f"100 * (n_shingles - alone) >= {PERCENT} * n_shingles")
-    sketches = own.join(cut(sigs.select("doc_id", "set_a")), ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id", "set_a"])
+    # 32 bits of each band's key are enough to tell a pair's lowest common band (wrong with probability 7e-9).
+    keys = known.select("doc_id", "set_a", "n_shingles", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"))
+    keys = keys.join(alone, ["doc_id", "set_a"], "left").fillna(0, "alone")
+    keys = cut(keys.filter(f"100 * (n_shingles - alone) >= {PERCENT} * n_shingles"))
+    sketches = own.join(keys.select("doc_id", "set_a"), ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     sketches = sketches.mapInArrow(_sketches, "doc_id long, set_a long, sketch binary")
-    open_ = open_.join(sigs.join(sketches, ["doc_id", "set_a"]), "doc_id")
+    open_ = open_.join(keys.join(sketches, ["doc_id", "set_a"]), "doc_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "band", "key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "doc_id", "comp",
-        "signature", "n_shingles", "alone", "sketch",
+        "n_shingles", "alone", "bands", "sketch",
     )
     group = ["band", "key", "left", "right"]
     more = open_.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare_blocks, "a long, b long").distinct()
