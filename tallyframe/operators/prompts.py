@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -296,21 +297,39 @@ def sample_fewshot(
     return picked.drop("_at", "_j", "_own", "_start")
 
 
+def first_shots(pool: DataFrame, pool_key: str, k: int) -> list[dict]:
+    """The first k pool rows in key order, as literals for every document: no example travels with the documents."""
+    names = {c: c if c == pool_key else f"pool_{c}" for c in pool.columns}
+    rows = pool.orderBy(pool_key).limit(k).collect()
+    if len(rows) < k:
+        raise ValueError(f"{k} examples asked from a pool of {len(rows)}")
+    return [{names[c]: v for c, v in r.asDict().items()} for r in rows]
+
+
+def with_shots(docs: DataFrame, key: str, shots: DataFrame | list[dict], one: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """``docs`` with ``_shots``: an array of ``one`` per example in order, null where a document has none."""
+    if isinstance(shots, list):
+        literals = [one(lambda name, row=row: F.lit(row[name])) for row in shots]
+        return docs.withColumn("_shots", F.array(*literals) if literals else F.lit(None))
+    listed = F.array_sort(F.collect_list(F.struct("rank", one(F.col).alias("t"))))
+    ex = shots.groupBy(key).agg(F.transform(listed, lambda x: x["t"]).alias("_shots"))
+    return docs.join(ex, key, "left")
+
+
 def build_context(
-    docs: DataFrame, key: str, question: str, shots: DataFrame, shot_text: str, shot_target: str, description: str = "",
+    docs: DataFrame, key: str, question: str, shots: DataFrame | list[dict], shot_text: str, shot_target: str, description: str = "",
     target_delimiter: str = " ", fewshot_delimiter: str = "\n\n", gen_prefix: str = "",
 ) -> DataFrame:
     """Description, labelled examples and question in one text; at most k examples per document."""
     prefix = gen_prefix + " " if gen_prefix else ""
-    one = F.concat(
-        F.col(shot_text),
-        F.when(F.col(shot_target) != "", F.concat(F.lit(target_delimiter + prefix), F.col(shot_target), F.lit(fewshot_delimiter))).otherwise(""),
+    one = lambda get: F.concat(
+        get(shot_text),
+        F.when(get(shot_target) != "", F.concat(F.lit(target_delimiter + prefix), get(shot_target), F.lit(fewshot_delimiter))).otherwise(""),
     )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("t")))), lambda x: x["t"]), "")
-    ex = shots.groupBy(key).agg(joined.alias("_shots"))
     tail = F.lit(target_delimiter + gen_prefix if gen_prefix else "")
-    context = F.concat(F.lit(description), F.coalesce("_shots", F.lit("")), F.col(question), tail)
-    return docs.join(ex, key, "left").withColumn("context", context).drop("_shots")
+    examples = F.coalesce(F.array_join("_shots", ""), F.lit(""))
+    context = F.concat(F.lit(description), examples, F.col(question), tail)
+    return with_shots(docs, key, shots, one).withColumn("context", context).drop("_shots")
 
 
 def chat_turn(role: str, content: Column) -> Column:
@@ -318,7 +337,7 @@ def chat_turn(role: str, content: Column) -> Column:
 
 
 def build_chat(
-    docs: DataFrame, key: str, question: str, shots: DataFrame, shot_text: str, shot_target: str, system: str = "",
+    docs: DataFrame, key: str, question: str, shots: DataFrame | list[dict], shot_text: str, shot_target: str, system: str = "",
     multiturn: bool = True, target_delimiter: str = " ", fewshot_delimiter: str = "\n\n", gen_prefix: str = "",
 ) -> DataFrame:
     """Chat as an array of (role, content).
@@ -327,20 +346,17 @@ def build_chat(
     question share one user turn. A generation prefix becomes a last assistant turn.
     """
     prefix = gen_prefix + " " if gen_prefix else ""
-    ordered = lambda body: F.array_sort(F.collect_list(F.struct(F.col("rank"), body.alias("t"))))
     none = F.array().cast("array<struct<role:string,content:string>>")
     if multiturn:
-        pair = F.array(chat_turn("user", F.col(shot_text)), chat_turn("assistant", F.concat(F.lit(prefix), F.col(shot_target))))
-        ex = shots.groupBy(key).agg(F.flatten(F.transform(ordered(pair), lambda x: x["t"])).alias("_turns"))
+        one = lambda get: F.array(chat_turn("user", get(shot_text)), chat_turn("assistant", F.concat(F.lit(prefix), get(shot_target))))
         user = F.array(chat_turn("user", F.col(question)))
-        middle = F.concat(F.coalesce("_turns", none), user)
+        middle = F.concat(F.coalesce(F.flatten("_shots"), none), user)
     else:
-        one = F.concat(F.col(shot_text), F.lit(target_delimiter + prefix), F.col(shot_target), F.lit(fewshot_delimiter))
-        ex = shots.groupBy(key).agg(F.array_join(F.transform(ordered(one), lambda x: x["t"]), "").alias("_turns"))
-        middle = F.array(chat_turn("user", F.concat(F.coalesce("_turns", F.lit("")), F.col(question))))
+        one = lambda get: F.concat(get(shot_text), F.lit(target_delimiter + prefix), get(shot_target), F.lit(fewshot_delimiter))
+        middle = F.array(chat_turn("user", F.concat(F.coalesce(F.array_join("_shots", ""), F.lit("")), F.col(question))))
     head = F.array(chat_turn("system", F.lit(system))) if system else none
     tail = F.array(chat_turn("assistant", F.lit(gen_prefix))) if gen_prefix else none
-    return docs.join(ex, key, "left").withColumn("chat", F.concat(head, middle, tail)).drop("_turns")
+    return with_shots(docs, key, shots, one).withColumn("chat", F.concat(head, middle, tail)).drop("_shots")
 
 
 # ---------------------------------------------------------------- question sheets

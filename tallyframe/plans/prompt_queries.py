@@ -250,7 +250,7 @@ SHOTS = "(select string_agg({e}, '' order by item_id) as s from benchmark where
 )
 def build_context(spark, sf):
     c = user_turns(spark, sf)
-    shots = P.sample_fewshot(c, "key", pool(spark, sf), "item_id", 2, sampler="first_n")
+    shots = P.first_shots(pool(spark, sf), "item_id", 2)
     out = P.build_context(c, "key", "text", shots, "pool_q", "pool_a", description="Solve.\n", gen_prefix="A:")
     return out.select("conv_id", "turn", "context")
 
@@ -267,7 +267,7 @@ def user_turns(spark, sf):
 )
 def build_chat(spark, sf):
     c = user_turns(spark, sf)
-    shots = P.sample_fewshot(c, "key", pool(spark, sf), "item_id", 2, sampler="first_n")
+    shots = P.first_shots(pool(spark, sf), "item_id", 2)
     out = P.build_chat(c, "key", "text", shots, "pool_q", "pool_a", system="S")
     line = F.array_join(F.transform("chat", lambda t: F.concat(t["role"], F.lit(":"), t["content"])), "|")
     return out.select("conv_id", "turn", line.alias("chat"))
@@ -280,7 +280,7 @@ def build_chat(spark, sf):
 )
 def build_chat_single_turn(spark, sf):
     c = user_turns(spark, sf)
-    shots = P.sample_fewshot(c, "key", pool(spark, sf), "item_id", 2, sampler="first_n")
+    shots = P.first_shots(pool(spark, sf), "item_id", 2)
     out = P.build_chat(c, "key", "text", shots, "pool_q", "pool_a", multiturn=False)
     line = F.array_join(F.transform("chat", lambda t: F.concat(t["role"], F.lit(":"), t["content"])), "|")
     return out.select("conv_id", "turn", line.alias("chat"))
