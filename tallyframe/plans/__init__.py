@@ -4,7 +4,7 @@ from importlib import import_module
 
 AREAS = [
     "attempt_queries", "aggregate_queries", "ngram_queries", "table_queries", "prompt_queries", "join_queries",
-    "filter_queries", "text_queries", "math_queries", "code_queries", "corpus_queries", "stream_queries",
+    "filter_queries", "text_queries", "math_queries", "code_queries", "corpus_queries", "stream_queries", "round_trip_queries",
 ]
 
 
