@@ -19,7 +19,7 @@ def fresh_folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("W1 N5 S12", f"select doc_id, count(*) as n, min(ngram) as lo from {B.doc_ngrams_sql(13)} group by doc_id")
+@query("W1 N5", f"select doc_id, count(*) as n, min(ngram) as lo from {B.doc_ngrams_sql(13)} group by doc_id")
 def stream_ngram_index(spark, sf):
     schema = B.table(spark, sf, "documents").schema
     docs = S.read_files(spark, sf, schema, "parquet", "documents.parquet")
