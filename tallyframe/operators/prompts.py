@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from typing import Callable
 
@@ -251,6 +252,14 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substr(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), F.lit(1), F.lit(15)), 16, 10).cast("long")
 
 
+def next_prime(n: int) -> int:
+    """The smallest prime from ``n`` on."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def sample_fewshot(
     docs: DataFrame, key: str, pool: DataFrame, pool_key: str, k: int, sampler: str = "random", seed: int = 0,
     same_split: bool = False, doc_cols: list[str] = (),
@@ -258,9 +267,11 @@ def sample_fewshot(
     """(key, rank, pool columns): k examples per document, never the document itself.
 
     The pool gets consecutive positions (``first_n``: by key; ``random``: by a seeded
-    hash). A document takes k neighbouring positions, one more where it would meet
-    itself. The positions are joined by equality, so neither side is multiplied by the
-    other, and only a pool measured as small is broadcast.
+    hash). With ``first_n`` a document takes the first k others. With ``random`` it walks a
+    ring of prime size with a start and a step of its own, so any two of its draws are
+    independent of each other and of other documents' draws. The positions are joined by
+    equality, so neither side is multiplied by the other, and only a pool measured as small
+    is broadcast.
     """
     renamed = pool.select(F.col(pool_key).alias("pool_id"), *[F.col(c).alias(f"pool_{c}") for c in pool.columns if c != pool_key])
     if sampler == "first_n":
@@ -270,31 +281,30 @@ def sample_fewshot(
         if found < k + (1 if same_split else 0):
             raise ValueError(f"{k} examples asked from a pool of {found}")
         placed = dense_index(head, ["pool_id"], "_at")
-        size, start = k + 1, F.lit(0).cast("long")
+        size, start, step = found, F.lit(0).cast("long"), F.lit(1).cast("long")
+        ring = size
     elif sampler == "random":
         size = pool.count()
         if size < k + (1 if same_split else 0):
             raise ValueError(f"{k} examples asked from a pool of {size}")
         hashed = renamed.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pool_id").cast("string"))))
         placed = dense_index(hashed, ["_h", "pool_id"], "_at").drop("_h")
-        start = F.pmod(hash_number(F.lit(seed), F.col(key)), F.lit(size))
+        ring = next_prime(size)
+        start = F.pmod(hash_number(F.lit(seed), F.col(key)), F.lit(ring))
+        step = 1 + F.pmod(hash_number(F.lit(f"{seed}b"), F.col(key)), F.lit(ring - 1))
     else:
         raise ValueError(sampler)
     placed = broadcast_if_small(placed, [c for c in placed.columns if c != "_at"])
-    base = docs.select(key, *doc_cols).withColumn("_start", start)
+    base = docs.select(key, *doc_cols).withColumn("_start", start).withColumn("_step", step)
+    own = F.lit(None).cast("long")
     if same_split:
-        own = placed.select(F.col("pool_id").alias(key), F.col("_at").alias("_own"))
-        base = base.join(own, key, "left").withColumn("_own", F.pmod(F.col("_own") - F.col("_start"), F.lit(size)))
-        base = base.withColumn("_own", F.when(F.col("_own") < k, F.col("_own")))
-    else:
-        base = base.withColumn("_own", F.lit(None).cast("long"))
-    last = F.lit(k - 1) + F.col("_own").isNotNull().cast("int")
-    steps = base.withColumn("_j", F.explode(F.sequence(F.lit(0), last)))
-    steps = steps.filter(F.col("_own").isNull() | (F.col("_j") != F.col("_own")))
-    steps = steps.withColumn("_at", F.pmod(F.col("_start") + F.col("_j"), F.lit(size)))
-    rank = F.col("_j") + 1 - F.coalesce((F.col("_j") > F.col("_own")).cast("int"), F.lit(0))
-    picked = steps.withColumn("rank", rank).join(placed, "_at")
-    return picked.drop("_at", "_j", "_own", "_start")
+        base = base.join(placed.select(F.col("pool_id").alias(key), F.col("_at").alias("_own")), key, "left")
+        own = F.col("_own")
+    # The walk meets every position once; of its first steps, at most ``ring - size`` lie outside and one is the document.
+    walk = F.transform(F.sequence(F.lit(0), F.lit(k + ring - size).cast("int")), lambda j: F.pmod(F.col("_start") + F.col("_step") * j, F.lit(ring)))
+    right = F.filter(walk, lambda at: (at < size) & (own.isNull() | (at != own)))
+    steps = base.select(key, *doc_cols, F.posexplode(F.slice(right, 1, k)).alias("_j", "_at")).withColumn("rank", F.col("_j") + 1)
+    return steps.join(placed, "_at").drop("_at", "_j")
 
 
 def first_shots(pool: DataFrame, pool_key: str, k: int) -> list[dict]:

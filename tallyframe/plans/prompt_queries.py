@@ -216,25 +216,24 @@ def fewshot_first_n(spark, sf):
     return out.select("doc_id", "pool_id", "rank")
 
 
-@query(
-    "J1",
-    """with p as (select item_id, row_number() over (order by md5('3:' || item_id), item_id) - 1 as pos, count(*) over () as n from benchmark),
-       d as (select doc_id, (('0x' || substr(md5('3:' || doc_id), 1, 15))::bigint) as h from documents)
-       select doc_id, item_id as pool_id, j::int + 1 as rank from d, range(0, 4) t(j), p where p.pos = (d.h + j) % p.n""",
-)
+# A walk over a ring of prime size with start and step from the document's hashes.
+WALK = """with q as (select unnest(range((select count(*) from {pool}), 2 * (select count(*) from {pool}) + 3)) as q),
+       r as (select min(q) as r from q where q >= 2 and not exists (select 1 from range(2, 1000) t(d) where d * d <= q and q % d = 0)),
+       p as (select {id} as pool_id, row_number() over (order by md5('3:' || {id}), {id}) - 1 as pos, count(*) over () as n from {pool}),
+       d as (select doc_id, r, (('0x' || substr(md5('3:' || doc_id), 1, 15))::bigint) % r as b,
+             1 + (('0x' || substr(md5('3b:' || doc_id), 1, 15))::bigint) % (r - 1) as a from documents, r),
+       c as (select doc_id, pool_id, row_number() over (partition by doc_id order by j) as rank
+             from d, range(0, 60) t(j), p where j <= {k} + d.r - p.n and p.pos = (d.b + d.a * j) % d.r {own})
+       select doc_id, pool_id, rank::int as rank from c where rank <= {k}"""
+
+
+@query("J1", WALK.format(pool="benchmark", id="item_id", k=4, own=""))
 def fewshot_random(spark, sf):
     out = P.sample_fewshot(B.table(spark, sf, "documents"), "doc_id", pool(spark, sf), "item_id", 4, seed=3)
     return out.select("doc_id", "pool_id", "rank")
 
 
-@query(
-    "J1",
-    """with p as (select doc_id as pool_id, row_number() over (order by md5('3:' || doc_id), doc_id) - 1 as pos, count(*) over () as n from documents),
-       d as (select doc_id, (('0x' || substr(md5('3:' || doc_id), 1, 15))::bigint) as h from documents),
-       c as (select doc_id, pool_id, j from d, range(0, 4) t(j), p where p.pos = (d.h + j) % p.n and pool_id <> doc_id)
-       select doc_id, pool_id, row_number() over (partition by doc_id order by j)::int as rank from c
-       qualify row_number() over (partition by doc_id order by j) <= 3""",
-)
+@query("J1", WALK.format(pool="documents", id="doc_id", k=3, own="and pool_id <> doc_id"))
 def fewshot_same_split(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id", "lang")
     return P.sample_fewshot(d, "doc_id", d, "doc_id", 3, seed=3, same_split=True).select("doc_id", "pool_id", "rank")
