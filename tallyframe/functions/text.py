@@ -107,6 +107,12 @@ def best_over(refs: Column, score) -> Column:
     return F.array_max(F.transform(refs, score))
 
 
+def picked_scores(picked: Column, answers: Column) -> Column:
+    """Exact match and token F1 of a picked answer, the best over the right answers; without any, 0."""
+    best = lambda score: F.coalesce(best_over(answers, lambda a: score(picked, a)), F.lit(0.0))
+    return F.struct(best(squad_exact).alias("em"), best(squad_f1).alias("f1"))
+
+
 def leave_one_out(golds: Column, score) -> Column:
     """Mean over golds of the best score against the other golds; one gold counts itself."""
     scores = F.transform(golds, score)

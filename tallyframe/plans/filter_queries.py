@@ -180,6 +180,25 @@ def generated_gender(spark, sf):
     return B.table(spark, sf, "part").select("p_partkey", L.generated_gender(r).alias("s")).select("p_partkey", "s.*")
 
 
+@query(
+    "H15",
+    f"""with s as (select doc_id, gold, list_position(lls, list_max(lls)) - 1 as p from {B.choice_scores_sql()}),
+        t as (select doc_id, ['unit', p::varchar, 'of', (p % 7)::varchar] as p,
+                unnest([['unit', gold::varchar, 'of', (gold % 7)::varchar], ['unit', ((gold * 5) % 64)::varchar]]) as r from s),
+        f as (select doc_id, {B.sql_overlap('p', 'r')} as n, len(p) as a, len(r) as b, (p = r)::int::double as em from t)
+        select doc_id, max(em) as em, round(max(case when n > 0 then 2.0 * n / (a + b) else 0 end), 9) as f1 from f group by doc_id""",
+)
+def entity_scores(spark, sf):
+    from tallyframe.functions.text import picked_scores
+
+    c = B.choice_scores(spark, sf)
+    name = lambda i: F.concat(F.lit("Unit "), i.cast("string"), F.lit(" of "), (i % 7).cast("string"))
+    entities = F.transform(F.sequence(F.lit(0), F.lit(63)), name)
+    answers = F.array(F.concat(F.lit("the "), name(F.col("gold"))), F.concat(F.lit("unit "), ((F.col("gold") * 5) % 64).cast("string"), F.lit(".")))
+    s = picked_scores(L.entity_pick(F.col("lls"), entities), answers)
+    return c.select("doc_id", s.alias("s")).select("doc_id", "s.em", F.round("s.f1", 9).alias("f1"))
+
+
 @query(
     "H15",
     f"""select doc_id, ['a', 'b', 'c', 'd'][list_position(lls, list_max(lls))] as entity from {B.choice_scores_sql(4)}""",
