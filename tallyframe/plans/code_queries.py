@@ -130,6 +130,49 @@ def check_instructions_strict(spark, sf):
     return out.select("doc_id", F.array_join(F.transform("inst_level_strict", lambda f: f.cast("int").cast("string")), "").alias("flags"))
 
 
+# Whole texts with marks spliced in by id, so that each check meets texts that pass and texts that fail.
+SPLICED = """(select doc_id, case when doc_id % 3 = 0 then '* ' else '' end || text
+  || case doc_id % 4 when 1 then chr(10) || '- x' when 2 then ' <<A title>>' when 3 then chr(10) || 'P.S. bye' else '' end
+  || case when doc_id % 5 = 0 then chr(10) || chr(10) || 'Section 1' || chr(10) || chr(10) || 'Section 2' else '' end
+  || case when doc_id % 7 = 0 then ' ****** other' else '' end
+  || case when doc_id % 11 = 0 then ' My answer is no.' else '' end || case when doc_id % 13 = 0 then ' *bold* **x** THE END' else '' end as r from documents)"""
+MORE_IDS = [
+    "detectable_content:postscript", "detectable_format:number_bullet_lists", "detectable_format:constrained_response",
+    "detectable_format:number_highlighted_sections", "detectable_format:multiple_sections", "detectable_format:title",
+    "combination:two_responses", "startend:end_checker", "length_constraints:number_sentences", "combination:repeat_prompt",
+    "change_case:capital_word_frequency", "detectable_format:json_format",
+]
+MORE_KWARGS = [
+    {"postscript_marker": "P.S."}, {"num_bullets": "1"}, {}, {"num_highlights": "2"}, {"section_spliter": "Section", "num_sections": "2"}, {}, {},
+    {"end_phrase": "the end"}, {"relation": "at least", "num_sentences": "12"}, {"prompt_to_repeat": "the"},
+    {"capital_relation": "less than", "capital_frequency": "3"}, {},
+]
+TRIMMED = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+MORE_FLAGS = f"""[regexp_matches(lower(r), 'p\\.\\s?s\\.'),
+  len(regexp_extract_all(r, '(?m)^\\s*\\*[^\\*].*$')) + len(regexp_extract_all(r, '(?m)^\\s*-.*$')) = 1,
+  contains(r, 'My answer is yes.') or contains(r, 'My answer is no.') or contains(r, 'My answer is maybe.'),
+  len(list_filter(regexp_extract_all(r, '\\*[^\\n\\*]*\\*'), lambda h: trim(replace(h, '*', '')) <> ''))
+    + len(list_filter(regexp_extract_all(r, '\\*\\*[^\\n\\*]*\\*\\*'), lambda h: trim(h[3:-3]) <> '')) >= 2,
+  len(regexp_extract_all(r, '\\s?Section\\s?[0-9]+\\s?')) >= 2, regexp_matches(r, '<<[^\\n]*[^<>\\s][^\\n]*>>'),
+  len(list_filter(string_split(r, '******'), lambda x: {TRIMMED('x')} <> '')) = 2 and {TRIMMED("string_split(r, '******')[1]")} <> {TRIMMED("string_split(r, '******')[2]")},
+  ends_with(lower({TRIMMED('r')}), 'the end'),
+  len(list_filter(string_split_regex(r, '[.!?。！？]+'), lambda x: {TRIMMED('x')} <> '')) >= 12,
+  starts_with(lower({TRIMMED('r')}), 'the'),
+  len(list_filter(string_split_regex(r, '[^\\p{{L}}\\p{{N}}\\-'']+'), lambda w: regexp_matches(w, '\\p{{Lu}}') and upper(w) = w)) < 3, false]"""
+
+
+@query(
+    "H51",
+    f"select doc_id, array_to_string(list_transform({MORE_FLAGS}, lambda f: case when f then '1' else '0' end), '') as flags from {SPLICED}",
+)
+def check_instructions_more(spark, sf):
+    one = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) if m else F.create_map().cast("map<string,string>")
+    d = B.table(spark, sf, "documents").select("doc_id", F.expr(SPLICED[len("(select doc_id, "):SPLICED.rindex(" as r from")].replace("chr(10)", "char(10)")).alias("r"))
+    d = d.withColumn("ids", F.array(*map(F.lit, MORE_IDS))).withColumn("kwargs", F.array(*map(one, MORE_KWARGS)))
+    out = I.check_instructions(d, ["doc_id"], "ids", "kwargs", "r", known=MORE_IDS, loose=False)
+    return out.select("doc_id", F.array_join(F.transform("inst_level_strict", lambda f: f.cast("int").cast("string")), "").alias("flags"))
+
+
 BARE = "regexp_replace(array_to_string({}, chr(10)), '^\\s+|\\s+$', '', 'g')"
 
 
