@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.columns import let
 from tallyframe.operators import ngrams as N
 from tallyframe.plans import bindings as B
 from tallyframe.plans.registry import query
@@ -27,10 +28,13 @@ def dirty_documents(spark, sf):
 @query("N1 N5", f"select doc_id, count(*) as n, count(distinct ngram) as n_distinct, min(ngram) as lo, max(ngram) as hi from {B.doc_ngrams_sql(13)} group by doc_id")
 def word_ngrams(spark, sf):
     """Figures of each text's n-grams, from the array inside the row: nothing is exploded or shuffled."""
-    g = docs(spark, sf).select("doc_id", N.ngram_array(N.normalize(F.col("text")), n13).alias("g")).filter(F.size("g") > 0)
-    return g.select(
-        "doc_id", F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"), F.array_min("g").alias("lo"), F.array_max("g").alias("hi")
+    figures = lambda g: F.struct(
+        F.size(g).cast("long").alias("n"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct"), F.array_min(g).alias("lo"), F.array_max(g).alias("hi")
     )
+    # The array is bound once; a text without n-grams gives no row.
+    none = F.array().cast("array<struct<n:bigint,n_distinct:bigint,lo:string,hi:string>>")
+    one = let(N.ngram_array(N.normalize(F.col("text")), n13), lambda g: F.when(F.size(g) > 0, F.array(figures(g))).otherwise(none))
+    return docs(spark, sf).select("doc_id", F.inline(one))
 
 
 @query("N3", f"select distinct ngram from {B.bench_ngrams_sql(13)}")
