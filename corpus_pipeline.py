@@ -13,6 +13,8 @@ from tallyframe.llm import neardup, packing, pii, spaced_seeds, toxicity
 from tallyframe.llm.shared import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity of word shingles, in percent, from which two documents are near duplicates here; op7 has its own threshold.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays."""
-    return neardup.keep_one(docs.select(COLUMNS))
+    return neardup.keep_one(docs.select(COLUMNS), NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@
 
 A pair's signatures are compared in batches: minima at anchors, and among open texts a sketch of ``SKETCH`` single bits of
 further minima, which says more per byte that travels. A pair is dropped as soon as the posterior probability of reaching the
-threshold, from a uniform prior, falls below ``MISS``; the survivors are decided on their whole sets. A pair at the
-threshold shares no bucket with probability (1 - 0.85^5)^32, about 7e-9.
+threshold, from a uniform prior, falls below ``MISS``; the survivors are decided on their whole sets. The threshold is the
+caller's ``percent``; a pair at it shares no bucket with probability (1 - 0.85^5)^32, about 7e-9 (3e-6 at 80 percent).
 
 Defined cases: null or empty text (or white space only) has an empty set and is linked with nothing. Texts of fewer than
 ``SIZE`` words have one shingle, their whole sequence. Rows that repeat an id are one document; a null id stays alone.
@@ -34,6 +34,7 @@ from tallyframe.llm.registry import query
 from tallyframe.llm.shared import cut, table, written
 
 SIZE = 5
+#: The threshold of op7; other callers pass their own.
 PERCENT = 85
 BANDS, ROWS = 32, 5
 BATCH = 32
@@ -167,36 +168,36 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prune(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, len(batch), 4096):
             part = batch.slice(first, 4096)
-            live = pairs_that_go_on(_stack(part.column(2)), _stack(part.column(3)))
+            live = pairs_that_go_on(_stack(part.column(2)), _stack(part.column(3)), percent)
             yield part.select([0, 1]).take(pa.array(live))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)) else 0
-            if both and 100 * both >= PERCENT * (len(x) + len(y) - both):
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
                 keep.append(i)
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
-def sketch_pairs_that_go_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def sketch_pairs_that_go_on(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Places of the sketch pairs that survive every batch of bits."""
     live, equal, words = np.arange(len(a)), np.zeros(len(a), np.int64), BITS // 64
     for i, n in enumerate(range(BITS, SKETCH + 1, BITS)):
         part = slice(i * words, (i + 1) * words)
         equal[live] += BITS - np.bitwise_count(a[live, part] ^ b[live, part]).sum(1).astype(np.int64)
-        live = live[equal[live] >= least_equal(n, (1 + PERCENT / 100) / 2)]
+        live = live[equal[live] >= least_equal(n, (1 + percent / 100) / 2)]
     return live
 
 
-def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
+def _block_pairs(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
     """Surviving pairs between the components of one block pair; a pair counts in its lowest common band only."""
     band, left, right = rows[0][0], rows[0][2], rows[0][3]
     side, ids, comp, size, alone = (np.array([r[k] for r in rows]) for k in range(4, 9))
@@ -209,12 +210,12 @@ def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
         one, two = np.flatnonzero(side == left), np.flatnonzero(side == right)
         i, j = np.repeat(one, len(two)), np.tile(two, len(one))
     common = np.minimum(shared[i], shared[j])
-    able = (comp[i] != comp[j]) & (100 * common >= PERCENT * (size[i] + size[j] - common))
+    able = (comp[i] != comp[j]) & (100 * common >= percent * (size[i] + size[j] - common))
     i, j = i[able], j[able]
     out_a, out_b = [], []
     for first in range(0, len(i), 8192):
         a, b = i[first : first + 8192], j[first : first + 8192]
-        live = sketch_pairs_that_go_on(sketch[a], sketch[b])
+        live = sketch_pairs_that_go_on(sketch[a], sketch[b], percent)
         a, b = a[live], b[live]
         here = np.argmax(bands[a] == bands[b], 1) == band
         out_a += ids[a[here]].tolist()
@@ -222,13 +223,13 @@ def _block_pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
     return out_a, out_b
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (band, bucket, left, right); one group is held at a time and has at most two blocks."""
     key, rows = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
-            a, b = _block_pairs(rows)
+            a, b = _block_pairs(rows, percent)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -241,22 +242,22 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from flush()
 
 
-def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     one = sigs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     two = sigs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-    near = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return near.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long")
+    near = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return near.select("a", "b", "sa", "sb").mapInArrow(lambda x: _prune(x, percent), "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
-    return joined.mapInArrow(_confirm, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return joined.mapInArrow(lambda x: _confirm(x, percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of ``percent`` or more), kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(texts.mapInArrow(_signed, SIGNATURE), "signatures")
     # Counted on the map side and written, so that the join back may split the rows of a large group of copies.
@@ -282,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(sets, "shingles")
 
     stars = members.filter("doc_id <> anchor").select(F.greatest("doc_id", "anchor").alias("a"), F.least("doc_id", "anchor").alias("b"))
-    links = cut(_confirmed(_pruned(stars.distinct(), sigs), sets))
+    links = cut(_confirmed(_pruned(stars.distinct(), sigs, percent), sets, percent))
     labels = components(links)
 
     placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 32 bits of each band's key are enough to tell a pair's lowest common band (wrong with probability 7e-9).
     keys = known.select("doc_id", "set_a", "n_shingles", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"))
     keys = keys.join(alone, ["doc_id", "set_a"], "left").fillna(0, "alone")
-    keys = cut(keys.filter(f"100 * (n_shingles - alone) >= {PERCENT} * n_shingles"))
+    keys = cut(keys.filter(f"100 * (n_shingles - alone) >= {percent} * n_shingles"))
     sketches = own.join(keys.select("doc_id", "set_a"), ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     sketches = sketches.mapInArrow(_sketches, "doc_id long, set_a long, sketch binary")
     open_ = open_.join(keys.join(sketches, ["doc_id", "set_a"]), "doc_id")
@@ -309,8 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_shingles", "alone", "bands", "sketch",
     )
     group = ["band", "key", "left", "right"]
-    more = open_.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare_blocks, "a long, b long").distinct()
-    found = _confirmed(more, sets)
+    more = open_.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda x: _compare_blocks(x, percent), "a long, b long").distinct()
+    found = _confirmed(more, sets, percent)
     labels = components(cut(labels.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")).union(found)))
 
     labels = labels.select(F.col("node").alias("rep"), "label")
@@ -319,9 +320,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest; of rows that repeat an id, one."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
+    gone = near_duplicates(docs, percent=percent).filter("NOT kept").select("doc_id")
     again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     single = docs.join(gone.union(again).distinct(), "doc_id", "left_anti").select(docs.columns)
     once = docs.join(again.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
@@ -330,4 +331,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 @query()
 def op7_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT)
