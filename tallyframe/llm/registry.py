@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["pii", "packing", "chat", "spaced_seeds", "toxicity", "licenses", "neardup", "suffixes", "host_rules", "token_rollup"]
+MODULES = [
+    "pii", "packing", "chat", "spaced_seeds", "toxicity", "licenses", "neardup", "suffixes", "host_rules", "token_rollup",
+    "simhash", "repair", "collocations",
+]
 
 
 def query(sql: str | None = None):
