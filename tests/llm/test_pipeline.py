@@ -29,7 +29,7 @@ def test_every_stage_against_a_plain_version(spark):
             score = toxicity.score(docs, toxicity.train(docs, table(spark, SF, "labels"))).collect()
             assert set(after) == {r.doc_id for r in score if r.score < toxicity.THRESHOLD}
         elif name == "near_duplicates":
-            assert set(after) == {d for d, (_, c) in components(before).items() if d == c} and len(rows) == len(after)
+            assert set(after) == {d for d, (_, c) in components(before, corpus_pipeline.NEAR_PERCENT).items() if d == c} and len(rows) == len(after)
         elif name == "decontamination":
             assert set(after) == {d for d, t in before.items() if not contaminated(t, items)}
         else:
