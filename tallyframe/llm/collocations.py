@@ -90,29 +90,29 @@ def same_words(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
     return out
 
 
+def counted(batches, seed: int) -> Iterator[pa.RecordBatch]:
+    """(lang, word, id, n) per range of rows."""
+    for batch in batches:
+        langs = batch.column("lang")
+        codes = langs.dictionary_encode().indices.to_numpy()
+        for first, _, data, starts, ends, rows, _, ids in occurrences(batch.column("t"), langs, seed):
+            _, at, of, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+            if not len(at):
+                continue
+            # Another word under the same number is a row of its own, so that the clash is seen.
+            own, lang = at[of], codes[first + rows]
+            equal = (ends - starts == ends[own] - starts[own]) & (lang == lang[own])
+            equal[equal] = same_words(data, starts[equal], starts[own[equal]], (ends - starts)[equal])
+            other = np.flatnonzero(~equal)
+            n -= np.bincount(of[other], minlength=len(n))
+            at, n = np.concatenate([at, other]), np.concatenate([n, np.ones(len(other), n.dtype)])
+            columns = [langs.take(pa.array(first + rows[at])), cut_out(data, starts[at], ends[at]), pa.array(ids[at]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "id", "n"])
+
+
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     """(lang, word, id, n) of every word."""
-
-    def count(batches):
-        for batch in batches:
-            langs = batch.column("lang")
-            codes = langs.dictionary_encode().indices.to_numpy()
-            for first, _, data, starts, ends, rows, _, ids in occurrences(batch.column("t"), langs, seed):
-                _, at, of, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
-                if len(at):
-                    # Another word under the same number is a row of its own, so that the clash is seen.
-                    own, lang = at[of], codes[first + rows]
-                    equal = (ends - starts == ends[own] - starts[own]) & (lang == lang[own])
-                    equal[equal] = same_words(data, starts[equal], starts[own[equal]], (ends - starts)[equal])
-                    other = np.flatnonzero(~equal)
-                    n -= np.bincount(of[other], minlength=len(n))
-                    at, n = np.concatenate([at, other]), np.concatenate([n, np.ones(len(other), n.dtype)])
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.take(pa.array(first + rows[at])), cut_out(data, starts[at], ends[at]), pa.array(ids[at]), pa.array(n)],
-                        ["lang", "word", "id", "n"],
-                    )
-
-    return docs.mapInArrow(count, WORDS).groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: counted(batches, seed), WORDS).groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
 
 def number_words(docs: DataFrame) -> tuple[DataFrame, int]:
