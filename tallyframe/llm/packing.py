@@ -69,7 +69,8 @@ class UnitIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the tokenizer takes as one id wherever they stand.
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -78,8 +79,22 @@ class UnitIds:
         self.at = np.zeros(1, np.int64)
 
     def rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, joined, and the number of ids of each row."""
-        data = textnp.LOWER[data]  # the tokenizer lower-cases, too
+        """Ids of all rows, joined, and the number of ids of each row.
+
+        A row that holds an added token is encoded as a whole, because the tokenizer cuts there before it looks at words.
+        """
+        raw, data = data, textnp.LOWER[data]  # the tokenizer lower-cases, too
+        text = data.tobytes()
+        whole = [r for r in range(len(at) - 1) if any(x in text[at[r] : at[r + 1]] for x in self.added)] if any(x in text for x in self.added) else []
+        ids, count = self._unit_rows(data, at)
+        if whole:
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for r in whole:
+                parts[r] = np.array(self.tokenizer.encode(raw[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            ids, count = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, count
+
+    def _unit_rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, rows = units(data, at)
         hashes, back = np.unique(textnp.word_hashes(data, starts, ends), return_inverse=True)
         if len(self.places) + len(hashes) > REMEMBERED:

@@ -8,7 +8,7 @@ from tallyframe.llm import packing
 
 TEXTS = [
     (-1, None), (-2, ""), (-3, " \n "), (-4, "It's <|endoftext|> ﬁ é x ΣΑΣ don't 123.5 café́ ('a.'s) …, ×÷"), (-5, "word " * 9000),
-    (-6, "Ab" * 5000), (-6, "Ab" * 5000), (-7, "a.b,c!'s 're.x"),
+    (-6, "Ab" * 5000), (-6, "Ab" * 5000), (-7, "a.b,c!'s 're.x"), (-8, "x<|startoftext|><|endoftext|>y Y<|ENDOFTEXT|>.<|endoftext| >"),
 ]
 
 
@@ -16,7 +16,6 @@ def expected(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     out = []
     for doc, text in texts:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
