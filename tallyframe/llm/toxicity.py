@@ -15,6 +15,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -320,14 +321,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text").between(1, MAX_BYTES))
-    sample = []
+    sample = None
     for y, most in ((0, MAX_CLEAN), (1, MAX_TOXIC)):
         # Some of the chosen ids have long texts or none; twice the number is drawn and the first ones are kept.
         ids = own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
-        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        sample += rows.select("text", "toxic").distinct().orderBy(F.xxhash64("text")).collect()
-    toxic = np.array([r["toxic"] for r in sample], np.int64)
-    return fit([r["text"] for r in sample], toxic, (shares.get(0, 0), shares.get(1, 0)))
+        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic").distinct()
+        sample = rows if sample is None else sample.union(rows)
+    counts = (shares.get(0, 0), shares.get(1, 0))
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        model = fit([text for text, _ in rows], np.array([y for _, y in rows], np.int64), counts)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
+
+    # The sample is bounded; one task fits it, and the driver sees the finished weights alone.
+    one = sample.repartition(1).sortWithinPartitions("toxic", F.xxhash64("text"), "text").mapInArrow(in_task, "model binary").collect()
+    return Model(**pickle.loads(one[0]["model"])) if one else fit([], np.zeros(0, np.int64), counts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
