@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.shared import cut
+from tallyframe.llm.shared import written
 
 MAX_ROUNDS = 60
 
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     before they are joined back, so a node with very many neighbours is never gathered. Rounds grow with the logarithm
     of the longest path. No edges give no rows; loops and repeated edges do not matter.
     """
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
         if _settled(e):
             break
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = written(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("label"))

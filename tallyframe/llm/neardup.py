@@ -3,7 +3,7 @@
 1. Every text gets its set of word shingles, a signature of ``BANDS * ROWS`` minima and a key per band. Texts with equal
    sets form one class; only the class's smallest id goes on.
 2. Per bucket each member is compared with one anchor (another one in each band). This joins groups of near copies
-   without their pairs.
+   without their pairs. The anchors of the first bands come first; later ones are compared where these joined nothing.
 3. Where a bucket still holds several components, all pairs between different components are compared in blocks of
    bounded size, so the result has every link between different texts that share a bucket. Shingles that only one open
    text has bound its similarity with every other one, exactly; texts and pairs below the threshold by this bound are
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.llm import textnp
 from tallyframe.llm.graph import components
 from tallyframe.llm.registry import query
-from tallyframe.llm.shared import cut, table, written
+from tallyframe.llm.shared import table, written
 
 SIZE = 5
 #: The threshold of op7; other callers pass their own.
@@ -44,6 +44,8 @@ MISS = 1e-5
 SKETCH, BITS = 1024, 256
 #: Members of one bucket that are compared at once.
 BLOCK = 256
+#: Bands whose anchors are verified first; what they join needs no further link.
+FIRST_BANDS = 2
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
@@ -261,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(texts.mapInArrow(_signed, SIGNATURE), "signatures")
     # Counted on the map side and written, so that the join back may split the rows of a large group of copies.
-    classes = cut(signed.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")))
+    classes = written(signed.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     member = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"], "left")
     member = member.select("doc_id", "n_shingles", "rep")
 
@@ -273,24 +275,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = keyed.groupBy("band", "key").agg(
         F.count("*").alias("members"), F.min(F.col("doc_id").bitwiseXOR(flip)).alias("low")
     ).filter("members > 1")
-    members = cut(
-        keyed.join(buckets, ["band", "key"]).select("band", "key", "doc_id", "members", F.col("low").bitwiseXOR(flip).alias("anchor"))
+    members = written(
+        keyed.join(buckets, ["band", "key"]).select("band", "key", "doc_id", "members", F.col("low").bitwiseXOR(flip).alias("anchor")), "members"
     )
-    ids = cut(members.select("doc_id").distinct())
+    ids = written(members.select("doc_id").distinct(), "ids")
     known = reps.join(ids, "doc_id", "left_semi")
     sigs = known.select("doc_id", "n_shingles", "signature")
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set_a long, shingles binary")
     sets = written(sets, "shingles")
 
-    stars = members.filter("doc_id <> anchor").select(F.greatest("doc_id", "anchor").alias("a"), F.least("doc_id", "anchor").alias("b"))
-    links = cut(_confirmed(_pruned(stars.distinct(), sigs, percent), sets, percent))
-    labels = components(links)
+    stars = members.filter("doc_id <> anchor").select(F.greatest("doc_id", "anchor").alias("a"), F.least("doc_id", "anchor").alias("b"), "band")
+    stars = stars.groupBy("a", "b").agg(F.min("band").alias("band"))
+    verify = lambda pairs: _confirmed(_pruned(pairs.select("a", "b"), sigs, percent), sets, percent)
+    early = components(written(verify(stars.filter(F.col("band") < FIRST_BANDS)), "links"))
+    # A pair whose ends the first bands have joined adds nothing; neither its signatures nor its sets travel.
+    end = lambda c: early.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    late = stars.filter(F.col("band") >= FIRST_BANDS).join(end("a"), "a", "left").join(end("b"), "b", "left")
+    late = late.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    joined = early.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    labels = components(written(joined.union(verify(late)), "links"))
 
     placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "band", "key", "members", "doc_id", F.coalesce("label", "doc_id").alias("comp")
     )
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
-    open_ = cut(placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi"))
+    open_ = written(placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "open")
     own = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_a", "shingles")
     once = own.mapInArrow(_members, "shingle long, doc_id long, set_a long").groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("set_a").alias("set_a")
@@ -299,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 32 bits of each band's key are enough to tell a pair's lowest common band (wrong with probability 7e-9).
     keys = known.select("doc_id", "set_a", "n_shingles", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"))
     keys = keys.join(alone, ["doc_id", "set_a"], "left").fillna(0, "alone")
-    keys = cut(keys.filter(f"100 * (n_shingles - alone) >= {percent} * n_shingles"))
+    keys = written(keys.filter(f"100 * (n_shingles - alone) >= {percent} * n_shingles"), "keys")
     sketches = own.join(keys.select("doc_id", "set_a"), ["doc_id", "set_a"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     sketches = sketches.mapInArrow(_sketches, "doc_id long, set_a long, sketch binary")
     open_ = open_.join(keys.join(sketches, ["doc_id", "set_a"]), "doc_id")
@@ -312,7 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = ["band", "key", "left", "right"]
     more = open_.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda x: _compare_blocks(x, percent), "a long, b long").distinct()
     found = _confirmed(more, sets, percent)
-    labels = components(cut(labels.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")).union(found)))
+    joined = labels.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    labels = components(written(joined.union(found), "links"))
 
     labels = labels.select(F.col("node").alias("rep"), "label")
     component = F.coalesce("label", "rep", "doc_id").alias("component_id")
