@@ -320,8 +320,64 @@ def plain_equal(pred: Column, ref: Column) -> Column:
     return F.when(same | choice, True).otherwise(F.coalesce(numeric_equal(pred, ref), (pred != "") & (bare(p) == bare(r))))
 
 
+# Structure of an answer in one character each: brackets open and close, matrices too; commas, rows and unions divide.
+BRACKETS_OPEN, BRACKETS_CLOSE = "(\x01", ")\x02"
+MARKS = r"()\x01\x02,;∪"
+
+
+def structure_marks(text: Column) -> Column:
+    """The text with matrices, their rows and cells, unions and square brackets written as single marks."""
+    body = r"(?s)\\begin\{[pb]matrix\}(.*?)\\end\{[pb]matrix\}"
+    # Inside a matrix rows end with a double backslash and cells with an ampersand; elsewhere neither stands in an answer.
+    rows = lambda t: F.regexp_replace(F.replace(F.regexp_replace(t, r"\s*\\\\\s*", ";"), F.lit("&"), F.lit(",")), r"[;\s]*\x02", "\x02")
+    matrices = lambda t: rows(F.regexp_replace(t, body, "\x01$1\x02"))
+    plain = F.translate(F.regexp_replace(text, r"\\cup(?![a-z])", "∪"), "[]", "()")
+    return F.when(plain.rlike(body), matrices(plain)).otherwise(plain)
+
+
+def top_level_parts(text: Column, mark: str) -> Column:
+    """The parts between the ``mark``s outside all brackets; NULL where brackets do not match.
+
+    A fold over the pieces keeps the depth: while it is not zero, the next piece belongs to the same part.
+    """
+    opens = lambda t: F.length(t) - F.length(F.translate(t, BRACKETS_OPEN, ""))
+    closes = lambda t: F.length(t) - F.length(F.translate(t, BRACKETS_CLOSE, ""))
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        part = F.when(acc["open"].isNull(), piece).otherwise(F.concat(acc["open"], F.lit(mark), piece))
+        depth = F.when(acc["depth"] < 0, acc["depth"]).otherwise(acc["depth"] + opens(piece) - closes(piece))
+        return F.struct(
+            F.when(depth == 0, F.array_append(acc["done"], part)).otherwise(acc["done"]).alias("done"),
+            F.when(depth == 0, F.lit(None)).otherwise(part).alias("open"), depth.alias("depth"),
+        )
+
+    pieces = F.split(text, mark if mark != "|" else "[|]")
+    return F.aggregate(pieces, none, step, lambda acc: F.when(acc["depth"] == 0, acc["done"]))
+
+
+def same_tree(a: Column, b: Column) -> Column:
+    """Equal nesting, and equal answers at every leaf: the marks alone are compared first, then what lies between them."""
+    shape = lambda t: F.regexp_replace(t, f"[^{MARKS}]+", "")
+    leaves = lambda t: F.split(t, f"[{MARKS}]")
+    return F.when(shape(a) == shape(b), F.forall(F.zip_with(leaves(a), leaves(b), lambda x, y: plain_equal(x, y)), lambda e: e)).otherwise(False)
+
+
+def nested_equal(pred: Column, ref: Column) -> Column:
+    """Equality of structured answers of any depth: tuples of tuples, matrices in tuples, intervals; unions in any order."""
+
+    def compare(s: Column) -> Column:
+        sides = F.struct(top_level_parts(s["p"], "∪").alias("p"), top_level_parts(s["r"], "∪").alias("r"))
+        covered = lambda a, b: F.forall(a, lambda x: F.exists(b, lambda y: same_tree(x, y)))
+        sets = lambda u: F.when(F.size(u["p"]) == F.size(u["r"]), F.when(F.size(u["p"]) == 1, same_tree(s["p"], s["r"])).otherwise(covered(u["p"], u["r"]) & covered(u["r"], u["p"])))
+        structured = s["p"].rlike(f"[{MARKS}]") & s["r"].rlike(f"[{MARKS}]")
+        return F.when(structured, F.coalesce(let(sides, sets), F.lit(False))).otherwise(False)
+
+    return let(F.struct(structure_marks(strip(pred)).alias("p"), structure_marks(strip(ref)).alias("r")), compare)
+
+
 def math_equal(pred: Column, ref: Column) -> Column:
-    """Text equality of two answers with one level of tuples, intervals, matrices and ``x =``.
+    """Text equality of two answers: tuples, intervals, matrices and their nesting to any depth, and ``x =``.
 
     Symbolic equality is not tested.
     """
@@ -345,9 +401,10 @@ def math_equal(pred: Column, ref: Column) -> Column:
         one_eq = lambda x: (F.size(F.split(x, "=")) == 2) & (F.length(strip(F.split(x, "=")[0])) <= 2)
         none = lambda x: ~F.contains(x, F.lit("="))
         right = lambda x: F.coalesce(F.get(F.split(x, "="), F.lit(1)), F.lit(""))
-        by_name = (one_eq(p) & none(r) & plain_equal(right(p), r)) | (one_eq(r) & none(p) & plain_equal(p, right(r)))
+        named = F.when(one_eq(p) & none(r), F.struct(right(p).alias("p"), r.alias("r"))).when(one_eq(r) & none(p), F.struct(p.alias("p"), right(r).alias("r")))
+        by_name = F.coalesce(let(named, lambda n: plain_equal(n["p"], n["r"]) | nested_equal(n["p"], n["r"])), F.lit(False))
         flat = plain_equal(s["p"], s["r"])
-        return F.when(flat, True).when(numeric | (p == ""), False).otherwise(tuples | matrices | by_name)
+        return F.when(flat, True).when(numeric | (p == ""), False).otherwise(tuples | matrices | by_name | nested_equal(p, r))
 
     both = F.struct(pred.alias("p"), ref.alias("r"))
     return F.when(pred.isNull() | ref.isNull(), False).otherwise(let(both, decide))

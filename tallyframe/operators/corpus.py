@@ -6,12 +6,14 @@ sums are aggregated.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.columns import let, occurrences, words
+from tallyframe.operators.bootstrap import bootstrap_stderr
 
 # The mteval-13a tokenizer steps.
 TOKENIZE_13A = [
@@ -122,14 +124,34 @@ def corpus_chrf(df: DataFrame, pred: Column, ref: Column, by: list[str] = (), or
     """Character n-gram F-score (0-100): mean precision and recall over the orders."""
     rows = df.select(*by, chrf_counts(pred, ref, order).alias("c")).select(*by, "c.*")
     sums = rows.groupBy(*by).agg(*[F.sum(c).cast("double").alias(c) for c in rows.columns if c not in by])
-    used = [((F.col(f"p{n}") > 0) & (F.col(f"r{n}") > 0)) for n in range(1, order + 1)]
+    return sums.select(*by, chrf_from_sums({c: F.col(c) for c in sums.columns}, order, beta).alias("chrf"))
+
+
+def chrf_from_sums(s: dict[str, Column], order: int = 6, beta: float = 2.0) -> Column:
+    """chrF (0-100) from summed n-gram counts; an order that one side lacks does not count."""
+    used = [((s[f"p{n}"] > 0) & (s[f"r{n}"] > 0)) for n in range(1, order + 1)]
     total = lambda xs: reduce(lambda a, b: a + b, xs)
     n_used = F.nullif(total([u.cast("double") for u in used]), F.lit(0.0))
-    prec = total([F.when(u, F.col(f"m{n}") / F.col(f"p{n}")).otherwise(0.0) for n, u in enumerate(used, 1)]) / n_used
-    rec = total([F.when(u, F.col(f"m{n}") / F.col(f"r{n}")).otherwise(0.0) for n, u in enumerate(used, 1)]) / n_used
+    prec = total([F.when(u, s[f"m{n}"] / s[f"p{n}"]).otherwise(0.0) for n, u in enumerate(used, 1)]) / n_used
+    rec = total([F.when(u, s[f"m{n}"] / s[f"r{n}"]).otherwise(0.0) for n, u in enumerate(used, 1)]) / n_used
     b2 = beta * beta
     score = 100 * (1 + b2) * prec * rec / F.nullif(b2 * prec + rec, F.lit(0.0))
-    return sums.select(*by, F.coalesce(score, F.lit(0.0)).alias("chrf"))
+    return F.coalesce(score, F.lit(0.0))
+
+
+def bleu_stderr(df: DataFrame, pred: Column, refs: Column, by: list[str] = (), **options) -> DataFrame:
+    """Bootstrap error of corpus BLEU: resampled rows are summed counts, no text is scored twice."""
+    rows = df.select(*by, bleu_counts(tokens_13a(pred), F.transform(refs, tokens_13a)).alias("c")).select(*by, "c.*")
+    names = [*[f"{k}{n}" for k in "mt" for n in range(1, 5)], "pred_len", "ref_len"]
+    score = lambda s: bleu_from_sums([s[f"m{n}"] for n in range(1, 5)], [s[f"t{n}"] for n in range(1, 5)], s["pred_len"], s["ref_len"])
+    return bootstrap_stderr(rows, list(by), {c: F.col(c) for c in names}, score, **options)
+
+
+def chrf_stderr(df: DataFrame, pred: Column, ref: Column, by: list[str] = (), order: int = 6, beta: float = 2.0, **options) -> DataFrame:
+    """Bootstrap error of corpus chrF."""
+    rows = df.select(*by, chrf_counts(pred, ref, order).alias("c")).select(*by, "c.*")
+    names = [f"{k}{n}" for k in "mpr" for n in range(1, order + 1)]
+    return bootstrap_stderr(rows, list(by), {c: F.col(c) for c in names}, lambda s: chrf_from_sums(s, order, beta), **options)
 
 
 def rouge_n(pred: Column, ref: Column, n: int) -> Column:
@@ -168,6 +190,61 @@ def with_rouge_l(df: DataFrame, pred: str, ref: str, name: str = "rouge_l") -> D
     return scored.withColumn(name, F.when(F.col("_l") > 0, 2.0 * F.col("_l") / both).otherwise(0.0)).drop("_p", "_r", "_l")
 
 
+def summary_sentences(text: Column) -> Column:
+    """Token arrays of the sentences: a spaced full stop ends one, as does a line feed."""
+    lines = F.filter(F.split(F.replace(text, F.lit(" . "), F.lit(".\n")), "\n"), lambda x: x != "")
+    return F.transform(lines, tokens_rouge)
+
+
+def subsequence_places(ref: list[str], other: list[str]) -> list[int]:
+    """Places in ``ref`` of one longest common subsequence.
+
+    The table of lengths is kept as one bit row per token of ``ref`` (a cleared bit is a step up by one), so a pair of
+    sentences needs one bit per cell. The walk back goes diagonally over equal tokens, else to the longer neighbour, up on a tie.
+    """
+    masks: dict = {}
+    for j, w in enumerate(other):
+        masks[w] = masks.get(w, 0) | (1 << j)
+    full = (1 << len(other)) - 1
+    rows = [full]
+    for w in ref:
+        hit = rows[-1] & masks.get(w, 0)
+        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+    out, i, j = [], len(ref), len(other)
+    while i and j:
+        if ref[i - 1] == other[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif length(i, j - 1) > length(i - 1, j):
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def union_subsequence_hits(refs: pd.Series, preds: pd.Series) -> pd.Series:
+    """Tokens of the reference sentences that lie in the union of their common subsequences with all predicted sentences, each
+    token at most as often as both texts have it."""
+
+    def hits(ref, pred) -> int:
+        ref, pred = [list(x) for x in ref], [list(x) for x in pred]
+        left = Counter(w for x in pred for w in x)
+        found = Counter(x[i] for x in ref for i in set().union(*(subsequence_places(x, y) for y in pred)))
+        return sum(min(n, left[w]) for w, n in found.items())
+
+    return pd.Series([hits(r, p) for r, p in zip(refs, preds)])
+
+
+def with_rouge_lsum(df: DataFrame, pred: str, ref: str, name: str = "rouge_lsum") -> DataFrame:
+    """Summary-level ROUGE-L: F-measure over the union of common subsequences per reference sentence."""
+    toks = df.withColumn("_p", summary_sentences(F.col(pred))).withColumn("_r", summary_sentences(F.col(ref)))
+    toks = toks.withColumn("_l", union_subsequence_hits("_r", "_p"))
+    size = lambda c: F.size(F.flatten(c))
+    return toks.withColumn(name, F.when(F.col("_l") > 0, 2.0 * F.col("_l") / (size("_p") + size("_r"))).otherwise(0.0)).drop("_p", "_r", "_l")
+
+
 def true_false_scores(scores_true: Column, scores_false: Column, name: str) -> list[Column]:
     """max, difference and acc of a similarity against true and false references."""
     t, f = F.array_max(scores_true), F.array_max(scores_false)

@@ -7,19 +7,64 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe.operators.aggregates import mean_stderr
 
 
-def leaf_edges(tree: dict) -> list[tuple[str, str]]:
-    """Flatten ``{group: {subgroup or task: ... or None}}`` to (group, task) pairs."""
-    edges: list[tuple[str, str]] = []
+def tree_edges(tree: dict) -> list[tuple[str, str]]:
+    """(group, child) pairs of ``{group: {subgroup or task: ... or None}}``, one per line of the written tree."""
+    found, todo = [], list((name, children) for name, children in tree.items())
+    while todo:
+        group, children = todo.pop()
+        for name, below in (children or {}).items():
+            found.append((group, name))
+            todo.append((name, below))
+    return found
 
-    def walk(node: dict, above: list[str]) -> None:
-        for name, children in node.items():
-            if children:
-                walk(children, [*above, name])
-            else:
-                edges.extend((g, name) for g in above)
 
-    walk(tree, [])
-    return edges
+CYCLE = "the groups form a cycle: "
+
+
+def tree_closure(edges: DataFrame, group: str = "group", child: str = "task") -> DataFrame:
+    """(group, task, depth): everything below each group, by a recursive query over the edges.
+
+    The edges are a table of any depth; a task may lie in several groups and is below each of them once, at its least depth.
+    A group that lies below itself is an error. Null names are no edges. The depth is bounded by the session's
+    ``spark.sql.cteRecursionLevelLimit``, the rows by ``spark.sql.cteRecursionRowLimit``.
+    """
+    pairs = edges.select(F.col(group).cast("string").alias("g"), F.col(child).cast("string").alias("c")).dropna().distinct()
+    walk = pairs.sparkSession.sql(
+        f"""WITH RECURSIVE walk(top, node, depth, trail) AS (
+              SELECT g, c, 1, array(g, c) FROM {{pairs}} WHERE IF(g = c, raise_error('{CYCLE}' || g), true)
+              UNION ALL
+              SELECT top, c, depth + 1, array_append(trail, c) FROM walk JOIN {{pairs}} ON g = node
+              WHERE IF(array_contains(trail, c), raise_error('{CYCLE}' || array_join(trail, ' > ')), true))
+            SELECT top, node, min(depth) AS depth FROM walk GROUP BY top, node""",
+        pairs=pairs,
+    )
+    return walk.select(F.col("top").alias("group"), F.col("node").alias("task"), "depth")
+
+
+def leaf_edges(edges: DataFrame, group: str = "group", child: str = "task") -> DataFrame:
+    """(group, task) pairs of every group with the tasks below it that are no groups themselves."""
+    groups = edges.select(F.col(group).cast("string").alias("task")).dropna().distinct()
+    return tree_closure(edges, group, child).join(groups, "task", "left_anti").select("group", "task")
+
+
+def tree_order(edges: DataFrame, group: str = "group", child: str = "task") -> DataFrame:
+    """(name, depth, path, alias) of every place in the tree, each group before what lies in it, names in order.
+
+    Roots are the groups that lie in no group. A task of two groups has two places. ``path`` is the array of names from the root.
+    """
+    pairs = edges.select(F.col(group).cast("string").alias("g"), F.col(child).cast("string").alias("c")).dropna().distinct()
+    walk = pairs.sparkSession.sql(
+        f"""WITH RECURSIVE walk(node, path) AS (
+              SELECT g, array(g) FROM (SELECT DISTINCT g FROM {{pairs}}) r LEFT ANTI JOIN {{pairs}} p ON p.c = r.g
+              UNION ALL
+              SELECT c, array_append(path, c) FROM walk JOIN {{pairs}} ON g = node
+              WHERE IF(array_contains(path, c), raise_error('{CYCLE}' || array_join(path, ' > ')), true))
+            SELECT node, path FROM walk""",
+        pairs=pairs,
+    )
+    depth = F.size("path") - 1
+    alias = F.concat(F.repeat(F.lit(" "), depth), F.when(depth > 0, "- ").otherwise(""), F.col("node"))
+    return walk.select(F.col("node").alias("name"), depth.alias("depth"), "path", alias.alias("alias")).orderBy("path")
 
 
 def pooled_stderr(stderr: Column, size: Column) -> Column:
@@ -59,7 +104,7 @@ def group_rollup(
 ) -> DataFrame:
     """Metric of every group over its leaf tasks.
 
-    ``scores``: task, value, stderr, n.  ``edges``: group, task (already flattened).
+    ``scores``: task, value, stderr, n.  ``edges``: group, task (flattened, as :func:`leaf_edges` makes them of a tree).
     ``extra`` adds user aggregates over the joined rows, such as a difference of two
     subtasks.
     """

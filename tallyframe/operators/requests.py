@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.columns import let, words
-from tallyframe.operators.ordering import group_index
+from tallyframe.operators.ordering import dense_index, group_index
 
 
 def build_requests(
@@ -54,6 +54,38 @@ def batch_requests(df: DataFrame, group: list[str], text: str, key: str, n: int)
     return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / n)).drop("_neg", "_rn")
 
 
+def group_contexts(df: DataFrame, key: str, context: str, continuation: str) -> DataFrame:
+    """Requests whose context and continuation agree but for the last token, under one representative.
+
+    ``context`` and ``continuation`` are token arrays. A model scores a representative once; its members differ only in the
+    token that is looked up in the result. Adds ``representative`` (the smallest ``key`` of the group), ``n_prefix`` and
+    ``last_token``. The prefix is compared by its length and two hash chains over its tokens, 128 bits together, so no text
+    is exchanged; a prefix that very many requests share becomes one row per task before it meets the others. An empty
+    continuation has no last token, and the whole context is its prefix. Null arrays are empty.
+    """
+    none = F.array().cast(df.schema[continuation].dataType)
+    body, tail = F.coalesce(F.col(context), none), F.coalesce(F.col(continuation), none)
+    prefix = F.concat(body, F.slice(tail, F.lit(1), F.greatest(F.size(tail) - 1, F.lit(0))))
+    rows = df.withColumns({
+        "last_token": F.try_element_at(tail, F.lit(-1)), "n_prefix": F.size(prefix),
+        "_a": F.xxhash64(prefix), "_b": F.xxhash64(F.lit("second"), prefix),
+    })
+    marks = ["n_prefix", "_a", "_b"]
+    return rows.join(rows.groupBy(*marks).agg(F.min(key).alias("representative")), marks).drop("_a", "_b")
+
+
+def batch_contexts(grouped: DataFrame, key: str, n: int) -> DataFrame:
+    """(representative, place, batch) of the representatives, longest prefix first; a batch has ``n`` of them."""
+    firsts = grouped.filter(F.col(key) == F.col("representative")).select("representative", (-F.col("n_prefix")).alias("_neg"))
+    placed = dense_index(firsts, ["_neg", "representative"], "place")
+    return placed.select("representative", "place", F.floor(F.col("place") / n).alias("batch"))
+
+
+def spread_results(grouped: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Results of the representatives, one row per request again, in the order of ``key``."""
+    return grouped.join(results, "representative").orderBy(key)
+
+
 def rolling_windows(tokens: Column, prefix: Column, max_len: int, context_len: int) -> Column:
     """Array of (input, predicted) windows that cover every token once."""
     step = max_len - context_len + 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import aggregates as A
 from tallyframe.operators import groups as G
+from tallyframe.operators.ordering import dense_index
 from tallyframe.plans import bindings as B
 from tallyframe.plans.registry import query
 
@@ -267,6 +268,51 @@ def group_rollup_difference(spark, sf):
     return out.select("group", F.round("spread", 6).alias("spread"), F.round("value", 6).alias("value"))
 
 
+SEGMENT_TREE = """with c as (select r_name, n_name, n_name || '/' || c_mktsegment as task, c_acctbal as v from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+  s as (select r_name, n_name, task, avg(v) as value, stddev_samp(v) / sqrt(count(*)) as stderr, count(*) as n from c group by all),
+  j as (select unnest(['WORLD', r_name, n_name]) as grp, * from s)"""
+
+
+def segment_edges(spark, sf):
+    """A tree of three levels as a table: the world, regions, nations, and the nations' market segments."""
+    n, r = B.table(spark, sf, "nation"), B.table(spark, sf, "region")
+    pair = lambda df, a, b: df.select(a.alias("group"), b.alias("task"))
+    nations = n.join(r, n.n_regionkey == r.r_regionkey)
+    segments = B.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.concat_ws("/", "n_name", "c_mktsegment").alias("task")).distinct()
+    return (
+        pair(r, F.lit("WORLD"), F.col("r_name")).unionByName(pair(nations, F.col("r_name"), F.col("n_name")))
+        .unionByName(pair(segments, F.col("n_name"), F.col("task")))
+    )
+
+
+@query(
+    "A31 A32 A34",
+    SEGMENT_TREE
+    + """ select grp as "group", round(sum(value * n) / sum(n), 6) as value,
+         case when count(stderr) = count(*) then round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 6) end as stderr,
+         sum(n)::bigint as n, count(*) as n_tasks from j group by grp""",
+)
+def tree_rollup(spark, sf):
+    n = B.table(spark, sf, "nation")
+    c = B.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("task", F.concat_ws("/", "n_name", "c_mktsegment"))
+    out = G.group_rollup(G.task_scores(c, ["task"], "c_acctbal"), G.leaf_edges(segment_edges(spark, sf)), extra={"n_tasks": F.count("*")})
+    return out.select("group", F.round("value", 6).alias("value"), F.round("stderr", 6).alias("stderr"), "n", "n_tasks")
+
+
+@query(
+    "O2 A31",
+    """with s as (select distinct r_name, n_name, n_name || '/' || c_mktsegment as task from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+       p as (select ['WORLD'] as p union all select ['WORLD', r_name] from region union all select ['WORLD', r_name, n_name] from nation join region on n_regionkey = r_regionkey
+             union all select ['WORLD', r_name, n_name, task] from s)
+       select array_to_string(p, ' > ') as path, (len(p) - 1)::int as depth, repeat(' ', len(p) - 1) || case when len(p) > 1 then '- ' else '' end || p[-1] as alias,
+       row_number() over (order by p) as place from p""",
+)
+def tree_places(spark, sf):
+    """Every place of the tree with its indented name, numbered in tree order."""
+    rows = G.tree_order(segment_edges(spark, sf)).select("path", "depth", "alias")
+    return dense_index(rows, ["path"], "at").select(F.array_join("path", " > ").alias("path"), "depth", "alias", (F.col("at") + 1).alias("place"))
+
+
 @query(
     "A33",
     TREE["cte"]

@@ -46,6 +46,33 @@ def corpus_bleu(spark, sf):
     return out.select(F.round("bleu", 6).alias("bleu"))
 
 
+# Linear part of each row in the logarithm of BLEU: its standard error by the delta method.
+BLEU_ERROR = f"""with {TOK13}, {gram_sums('t', range(1, 5))}, s as (select {TOTALS}, (select sum(len(p)) from t)::double as pl, (select sum(len(r)) from t)::double as rl),
+  b as (select *, 100 * (case when pl < rl then exp(1 - rl / pl) else 1 end) * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) as bleu from s),
+  i as (select t.id, ({' + '.join(f'(coalesce(m{n}.m, 0) / b.m{n} - greatest(len(p) - {n} + 1, 0) / b.t{n})' for n in range(1, 5))}) / 4
+    + case when pl < rl then rl * len(p) / (pl * pl) - len(r) / pl else 0 end as d, bleu
+    from t {' '.join(f'left join m{n} on m{n}.id = t.id' for n in range(1, 5))}, b)
+  select count(*) as n, round(any_value(bleu) * sqrt(sum(d * d)), 5) as formula, true as agrees from i"""
+
+
+@query("A30 A11", BLEU_ERROR)
+def bootstrap_bleu_stderr(spark, sf):
+    """The bootstrap error of corpus BLEU beside the delta method's; they have to agree within ``AGREE``."""
+    r = B.replies(spark, sf)
+    rows = r.select(C.bleu_counts(C.tokens_13a(F.col("pred")), F.array(C.tokens_13a(F.col("ref")))).alias("c")).select("c.*")
+    s = rows.agg(*[F.sum(c).cast("double").alias(f"s_{c}") for c in rows.columns])
+    total = {c: F.col(f"s_{c}") for c in rows.columns}
+    bleu = C.bleu_from_sums([total[f"m{n}"] for n in range(1, 5)], [total[f"t{n}"] for n in range(1, 5)], total["pred_len"], total["ref_len"])
+    d = sum((F.col(f"m{n}") / total[f"m{n}"] - F.col(f"t{n}") / total[f"t{n}"] for n in range(1, 5)), F.lit(0.0)) / 4
+    short = F.when(total["pred_len"] < total["ref_len"], total["ref_len"] * F.col("pred_len") / total["pred_len"] ** 2 - F.col("ref_len") / total["pred_len"])
+    one = F.lit(1)
+    per_row = rows.withColumn("k", one).join(F.broadcast(s.withColumn("k", one)), "k")
+    formula = per_row.agg(F.count("*").alias("n"), (F.max(bleu) * F.sqrt(F.sum((d + F.coalesce(short, F.lit(0.0))) ** 2))).alias("formula")).withColumn("k", one)
+    boot = C.bleu_stderr(r, F.col("pred"), F.array("ref"), iters=400).withColumn("k", one)
+    both = formula.join(boot, "k")
+    return both.select("n", F.round("formula", 5).alias("formula"), (F.abs(F.col("stderr") / F.col("formula") - 1) < B.AGREE).alias("agrees"))
+
+
 CODE = lambda c: B.sql_words(f"replace(array_to_string(regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_])', 1), ' '), '_', ' _ ')")
 LOGS = " + ".join(
     f"ln(coalesce(m{n}.m, 0) + {0 if n == 1 else 1} + 2.2250738585072014e-308) - ln(greatest(len(p) - {n} + 1, 0) + {0 if n == 1 else 1} + 2.2250738585072014e-308)"
@@ -99,6 +126,47 @@ def rouge_n(spark, sf):
     )
 
 
+SENTENCES = lambda c: f"list_transform(list_filter(string_split(replace({c}, ' . ', '.' || chr(10)), chr(10)), lambda x: x <> ''), lambda x: {RTOK('x')})"
+# Lengths of common subsequences row by row for every pair of sentences, then the walk back from the last cell.
+LSUM = f"""with recursive t as (select conv_id * 1000 + turn as id, {SENTENCES('pred')} as p, {SENTENCES('ref')} as r from {{src}}),
+  a as (select id, unnest(range(1, len(r) + 1)) as ri, unnest(r) as r from t), b as (select id, unnest(range(1, len(p) + 1)) as pi, unnest(p) as p from t),
+  s as (select id, ri, pi, r, p from a join b using (id) where len(r) > 0 and len(p) > 0),
+  d as (select id, ri, pi, r, p, 0 as i, list_transform(range(0, len(p) + 1), lambda x: 0::bigint) as v from s
+    union all select id, ri, pi, r, p, i + 1, list_prepend(0::bigint, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j]))) from
+      (select *, list_transform(range(1, len(p) + 1), lambda k: case when r[i + 1] = p[k] then v[k] + 1 else v[k + 1] end) as c from d where i < len(r))),
+  w as (select id, ri, pi, r, p, len(r)::bigint as i, len(p)::bigint as j, null::bigint as hit from s
+    union all select w.id, w.ri, w.pi, w.r, w.p, case when w.r[w.i] = w.p[w.j] or x.v[w.j] <= y.v[w.j + 1] then w.i - 1 else w.i end,
+      case when w.r[w.i] = w.p[w.j] or x.v[w.j] > y.v[w.j + 1] then w.j - 1 else w.j end, case when w.r[w.i] = w.p[w.j] then w.i end
+      from w join d x on x.id = w.id and x.ri = w.ri and x.pi = w.pi and x.i = w.i join d y on y.id = w.id and y.ri = w.ri and y.pi = w.pi and y.i = w.i - 1
+      where w.i > 0 and w.j > 0),
+  h as (select id, g, count(*) as n from (select distinct id, ri, hit, r[hit] as g from w where hit is not null) group by 1, 2),
+  k as (select id, g, count(*) as n from (select id, unnest(flatten(p)) as g from t) group by 1, 2),
+  m as (select id, sum(least(h.n, k.n)) as m from h join k using (id, g) group by 1),
+  f as (select id, case when m > 0 then 2.0::double * m / (len(flatten(p)) + len(flatten(r))) else 0 end as f from t left join m using (id))"""
+FALSE_TEXT = "In the end . And of the nothing\nof the kind"
+
+
+@query("H31", LSUM.replace("{src}", B.REPLIES_SQL) + " select id // 1000 as conv_id, id % 1000 as turn, round(f, 9) as rouge_lsum from f")
+def rouge_lsum(spark, sf):
+    """Summary-level ROUGE-L of every reply with the turn before it."""
+    return C.with_rouge_lsum(B.replies(spark, sf), "pred", "ref").select("conv_id", "turn", F.round("rouge_lsum", 9).alias("rouge_lsum"))
+
+
+@query(
+    "H31",
+    f"""with yes as ({LSUM.replace('{src}', B.REPLIES_SQL)} select id, round(f, 9) as y from f),
+        no as ({LSUM.replace('{src}', "(select conv_id, turn, pred, replace('" + FALSE_TEXT.replace(chr(10), '~') + "', '~', chr(10)) as ref from " + B.REPLIES_SQL + ")")} select id, round(f, 9) as n from f)
+        select id // 1000 as conv_id, id % 1000 as turn, y as rouge_lsum_max, round(y - n, 8) as rouge_lsum_diff, (y > n)::int as rouge_lsum_acc from yes join no using (id)""",
+)
+def true_false_rouge_lsum(spark, sf):
+    """Summary-level similarity of a reply with a true and with a false reference."""
+    r = B.replies(spark, sf).withColumn("false", F.lit(FALSE_TEXT))
+    both = C.with_rouge_lsum(C.with_rouge_lsum(r, "pred", "ref", "t"), "pred", "false", "f")
+    rounded = both.select("conv_id", "turn", F.round("t", 9).alias("t"), F.round("f", 9).alias("f"))
+    out = rounded.select("conv_id", "turn", *C.true_false_scores(F.array("t"), F.array("f"), "rouge_lsum"))
+    return out.withColumn("rouge_lsum_diff", F.round("rouge_lsum_diff", 8))
+
+
 @query("H31")
 def rouge_l(spark, sf):
     return C.with_rouge_l(B.doc_pairs(spark, sf), "pred", "ref").select("doc_id", F.round("rouge_l", 9).alias("rouge_l"))

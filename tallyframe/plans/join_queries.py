@@ -157,14 +157,37 @@ def fix_answers(spark, sf):
     return J.fix_answers(p, fixes, "p_partkey", "answer")
 
 
-@query("A30")
+@query(
+    "A30",
+    "select event_type as task, count(value) as n, round(stddev_pop(value) / sqrt(count(value)), 6) as formula, true as agrees from events group by 1",
+)
 def bootstrap_mean_stderr(spark, sf):
+    """The bootstrap error of the mean beside its formula; they have to agree within ``AGREE``."""
     e = B.table(spark, sf, "events").withColumnRenamed("event_type", "task")
-    return bootstrap_stderr(e, ["task"], {"value": F.col("value")}, lambda s: s["value"] / s["n"], iters=200)
+    boot = bootstrap_stderr(e, ["task"], {"value": F.col("value")}, lambda s: s["value"] / s["n"], iters=400)
+    formula = e.groupBy("task").agg(F.count("value").alias("n"), (F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("formula"))
+    return agreeing(formula.join(boot, "task"), "task")
+
 
+def agreeing(both, *keys):
+    near = F.abs(F.col("stderr") / F.col("formula") - 1) < B.AGREE
+    return both.select(*keys, "n", F.round("formula", 6).alias("formula"), near.alias("agrees"))
 
-@query("A30")
+
+@query(
+    "A30",
+    f"""with s as (select sum(gold * pred)::double as tp, sum(gold + pred)::double as tot, count(*) as n from {B.GOLD_PRED_SQL}),
+        f as (select 2 * tp / tot as f1, tot, n from s)
+        select 'labels' as task, any_value(n) as n, round(sqrt(sum(pow((2 * gold * pred - f1 * (gold + pred)) / tot, 2))), 6) as formula, true as agrees from {B.GOLD_PRED_SQL}, f""",
+)
 def bootstrap_f1_stderr(spark, sf):
+    """The bootstrap error of F1 beside the delta method's."""
     g = B.gold_pred(spark, sf).withColumn("task", F.lit("labels"))
     both, gold, pred = (F.col("gold") * F.col("pred")), F.col("gold"), F.col("pred")
-    return bootstrap_stderr(g, ["task"], {"tp": both, "t": gold, "p": pred}, lambda s: 2 * s["tp"] / (s["t"] + s["p"]), iters=200)
+    boot = bootstrap_stderr(g, ["task"], {"tp": both, "t": gold, "p": pred}, lambda s: 2 * s["tp"] / (s["t"] + s["p"]), iters=400)
+    # Sums of squares and products of the two counts give the error without a second pass.
+    x, y = 2 * both, gold + pred
+    s = g.groupBy("task").agg(*[F.sum(e.cast("double")).alias(c) for c, e in {"x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}.items()], F.count("*").alias("n"))
+    f1 = F.col("x") / F.col("y")
+    formula = s.select("task", "n", (F.sqrt(F.col("xx") - 2 * f1 * F.col("xy") + f1 * f1 * F.col("yy")) / F.col("y")).alias("formula"))
+    return agreeing(formula.join(boot, "task"), "task")

@@ -112,6 +112,28 @@ def math_equal(spark, sf):
     return parts(spark, sf).select("p_partkey", M.math_equal(pred, ref).alias("equal"))
 
 
+@query(
+    "H39",
+    """select p_partkey, case p_partkey % 9 when 1 then p_size = 2 when 3 then false when 5 then false when 8 then false else true end as equal from part""",
+)
+def nested_answers(spark, sf):
+    """Tuples of tuples, unions of intervals and matrices in tuples made of whole columns; the SQL states them by their parts."""
+    k, n, x = F.col("p_partkey") % 9, F.col("p_size").cast("string"), F.format_string("%.2f", "p_retailprice")
+    more, longer = F.format_string("%.2f", F.col("p_retailprice") * 1.01), F.format_string("%.4f", "p_retailprice")
+    matrix = lambda a: cat("(\\begin{pmatrix}", a, " & 1 \\\\ 2 & 3\\end{pmatrix}, ", x, ")")
+    pred = (
+        F.when(k == 0, cat("((", n, ", 2.0), ", x, ")")).when(k == 1, cat("((", n, ".0,2),", x, ")")).when(k == 2, cat("(-\\infty, ", n, "] \\cup [", x, ", \\infty)"))
+        .when(k == 3, cat("(0,", n, "]\\cup[", x, ",y)")).when(k == 4, matrix(cat(n, ".0"))).when(k == 5, cat("((", n, ".0,2),", x, ")"))
+        .when(k == 6, cat("x=((", n, ",1),2)")).when(k == 7, cat("(((", n, ",1),2),(3,", x, "))")).otherwise(cat("((", n, ".0,1),", x))
+    )
+    ref = (
+        F.when(k == 0, cat("((", n, ".0,2),", longer, ")")).when(k == 1, cat("((2,", n, "),", x, ")")).when(k == 2, cat("[", longer, ",\\infty)\\cup(-\\infty,", n, ".0]"))
+        .when(k == 3, cat("(0,", n, "]\\cup[", more, ",y)")).when(k == 4, matrix(n)).when(k == 5, cat("(", n, ",(2,", x, "))"))
+        .when(k == 6, cat("((", n, ".0,1),2)")).when(k == 7, cat("(((", n, ".0, 1.0), 2), (3, ", longer, "))")).otherwise(cat("((", n, ",1),", x))
+    )
+    return parts(spark, sf).select("p_partkey", M.math_equal(pred, ref).alias("equal"))
+
+
 @query(
     "H40",
     """select p_partkey, p_size || '' as gt, 'How many ' || p_name || 's?' as question_text from part""",

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyframe.functions import registry as R
+from tallyframe.operators import ngrams as N
 from tallyframe.plans import bindings as B
 from tallyframe.plans import evaluate as E
 from tallyframe.plans.evaluate import evaluate_generation
 from tallyframe.plans.registry import query
 from tallyframe.session import checkpoint_dir
+from tallyframe.sources.ngram_store import create_store, open_store
 from tallyframe.streaming import resume as S
 
 
@@ -19,25 +21,49 @@ def fresh_folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("W1 N5", f"select doc_id, count(*) as n, min(ngram) as lo from {B.doc_ngrams_sql(13)} group by doc_id")
+ROUNDS = 4
+
+
+def arrive(df, base: str, k: int) -> None:
+    """Round ``k`` of a table's rows lands in the folder that a stream watches."""
+    df.filter(F.pmod(df.columns[0], F.lit(ROUNDS)) == k).write.mode("append").parquet(base + "/in")
+
+
+@query("W1 N5 S12", f"select doc_id, count(distinct ngram) as n, min(ngram) as lo from {B.doc_ngrams_sql(13)} group by doc_id")
 def stream_ngram_index(spark, sf):
-    schema = B.table(spark, sf, "documents").schema
-    docs = S.read_files(spark, sf, schema, "parquet", "documents.parquet")
+    """Documents arrive in four rounds, the stream ends after each one; a batch is delivered twice and one dies unpublished."""
+    docs = B.table(spark, sf, "documents").select("doc_id", "text")
     base = fresh_folder(spark, "ngrams")
-    S.stream_ngram_index(docs, "doc_id", "text", 13, base + "/index", base + "/state").awaitTermination()
-    return spark.read.parquet(base + "/index").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("ngram").alias("lo"))
+    for k in range(ROUNDS):
+        arrive(docs, base, k)
+        store = create_store(spark, base + "/index", 13, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        arrived = S.read_files(spark, base + "/in", docs.schema, "parquet")
+        S.stream_ngram_index(arrived, "doc_id", "text", store, base + "/state").awaitTermination()
+        if k == 1:
+            some = N.word_ngrams(docs.limit(5), ["doc_id"], "text", 13, once=True)
+            store.append(some, base + "/state#0")
+            store.write_run(some, "torn")
+            store.compact()
+    return open_store(spark, base + "/index").read().groupBy("doc_id").agg(F.count("*").alias("n"), F.min("ngram").alias("lo"))
 
 
 @query(
     "W2 J10",
-    """select user_id, event_type as task, max(event_id) as event_id, max_by(value, event_id) as value from events group by 1, 2""",
+    f"""with e as (select *, event_id % {ROUNDS} as round from events),
+        f as (select user_id, event_type, min(round) as round from e group by 1, 2)
+        select user_id, event_type as task, max(event_id) as event_id, max_by(value, event_id) as value, f.round::int as round
+        from e join f using (user_id, event_type) where e.round = f.round group by all""",
 )
 def stream_scores(spark, sf):
-    schema = B.table(spark, sf, "events").schema
-    events = S.read_files(spark, sf, schema, "parquet", "events.parquet")
+    """Events arrive in four rounds; the stream ends after each one and is started again from its checkpoint."""
+    events = B.table(spark, sf, "events")
     base = fresh_folder(spark, "scores")
-    S.stream_scores(events, ["user_id", "event_type"], "event_id", base + "/out", base + "/state").awaitTermination()
-    return spark.read.parquet(base + "/out").select("user_id", F.col("event_type").alias("task"), "event_id", "value")
+    for k in range(ROUNDS):
+        arrive(events, base, k)
+        arrived = S.read_files(spark, base + "/in", events.schema, "parquet")
+        S.stream_scores(arrived, ["user_id", "event_type"], "event_id", base + "/out", base + "/state").awaitTermination()
+    done = spark.read.parquet(base + "/out")
+    return done.select("user_id", F.col("event_type").alias("task"), "event_id", "value", F.col("batch_id").cast("int").alias("round"))
 
 
 @query(

@@ -324,6 +324,27 @@ def batch_requests(spark, sf):
     return R.batch_requests(d, ["lang"], "text", "doc_id", 16).select("doc_id", "lang", "batch")
 
 
+CONTEXTS = f"""(select (conv_id * 1000 + turn) * 3 + i as id, {B.sql_words("text")} as ctx, (case i when 0 then ['yes'] when 1 then ['no'] else ['it', 'is', role] end) as cont
+  from conversations, (select unnest(range(0, 3)) as i))"""
+
+
+@query(
+    "P20",
+    f"""with r as (select *, ctx || cont[1:len(cont) - 1] as p, cont[-1] as last_token from {CONTEXTS}), g as (select p, min(id) as representative from r group by p),
+        b as (select p, representative, (row_number() over (order by len(p) desc, representative) - 1) // 16 as batch from g)
+        select r.id, representative, len(r.p)::int as n_prefix, last_token, batch from r join b on r.p = b.p""",
+)
+def batch_contexts(spark, sf):
+    """Three continuations of every turn: two of one token share their context, and so do equal turns of other conversations."""
+    c = B.table(spark, sf, "conversations")
+    conts = F.array(F.array(F.lit("yes")), F.array(F.lit("no")), F.array(F.lit("it"), F.lit("is"), F.col("role")))
+    rows = c.select("conv_id", "turn", words(F.col("text")).alias("ctx"), F.posexplode(conts).alias("i", "cont"))
+    requests = rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 3 + F.col("i")).alias("id"), "ctx", "cont")
+    grouped = R.group_contexts(requests, "id", "ctx", "cont").drop("ctx", "cont")
+    out = R.spread_results(grouped, R.batch_contexts(grouped, "id", 16), "id")
+    return out.select("id", "representative", "n_prefix", "last_token", "batch")
+
+
 WINDOWS = f"""with t as (select doc_id, {B.sql_words('text')} as t from documents), n as (select *, len(t) as n from t where len(t) > 0),
   w as (select *, unnest(range(0, 1 + ceil(greatest(n - 100, 0) / 81.0)::int)) as w from n),
   b as (select *, least(100, n) as f, case when w = 0 then 0 else least(100, n) + (w - 1) * 81 end as done from w),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.columns import argmax
+from tallyframe.sources.ngram_store import create_store, open_store
 
 
 def sample_log_rows(df: DataFrame) -> DataFrame:
@@ -67,22 +68,14 @@ def write_results(results: DataFrame, path: str, config: dict[str, str]) -> None
 
 
 def write_ngram_index(index: DataFrame, path: str, n: int, n_buckets: int = 500) -> None:
-    """Hash-bucketed, sorted, compressed n-gram records and a small info file."""
-    spark = index.sparkSession
-    (
-        index.select("ngram", "doc_id")
-        .repartition(n_buckets, "ngram", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-        .sortWithinPartitions("ngram", "doc_id")
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .parquet(path + "/index")
-    )
-    spark.createDataFrame([(n,)], "ngram_size int").coalesce(1).write.mode("overwrite").json(path + "/info")
+    """Hash-bucketed, sorted, compressed n-gram records and a small info file: a store of one batch."""
+    id_type = index.schema["doc_id"].dataType.simpleString()
+    create_store(index.sparkSession, path, n, n_buckets, id_type).append(index, "all")
 
 
 def read_ngram_index(spark, path: str) -> tuple[DataFrame, int]:
-    n = spark.read.schema("ngram_size int").json(path + "/info").first()["ngram_size"]
-    return spark.read.parquet(path + "/index"), n
+    store = open_store(spark, path)
+    return store.read(), store.n
 
 
 def write_attempt_summary(matrix: DataFrame, path: str) -> None:

@@ -41,7 +41,7 @@ def test_majority_tie_goes_to_the_first_seen(spark):
 
 def test_group_rollup_values(spark):
     scores = spark.createDataFrame([("a", 0.3, 0.1, 20), ("b", 0.2, 0.1, 40), ("c", 0.4, 0.1, 100)], "task string, value double, stderr double, n long")
-    edges = spark.createDataFrame(G.leaf_edges({"all": {"x": {"a": None, "b": None}, "c": None}}), "group string, task string")
+    edges = G.leaf_edges(spark.createDataFrame(G.tree_edges({"all": {"x": {"a": None, "b": None}, "c": None}}), "group string, task string"))
     flat = {r["group"]: r["value"] for r in G.group_rollup(scores, edges, weight_by_size=False).collect()}
     sized = {r["group"]: r["value"] for r in G.group_rollup(scores, edges).collect()}
     assert flat["all"] == pytest.approx(0.3) and sized["all"] == pytest.approx(0.3375)
