@@ -120,10 +120,14 @@ def _letters(r: Column, arg: Args) -> Column:
     return compare(n, arg("let_relation"), ints(arg("let_frequency")))
 
 
-def _all_case(r: Column, up: bool) -> Column:
+def _english(r: Column) -> Column:
+    return F.coalesce(detect_language(r), F.lit("en")) == "en"
+
+
+def _all_case(r: Column, up: bool, english: Callable[[Column], Column] = _english) -> Column:
     cased = r.rlike(r"[\p{Lu}\p{Ll}]")
     same = (F.upper(r) if up else F.lower(r)) == r
-    return cased & same & (F.coalesce(detect_language(r), F.lit("en")) == "en")
+    return cased & same & english(r)
 
 
 def _capital_words(r: Column, arg: Args) -> Column:
@@ -172,12 +176,24 @@ CHECKS: dict[str, Callable[[Column, Args], Column]] = {
 }
 
 
-def follows(instruction: Column, kwargs: Column, response: Column, known: list[str] | None = None) -> Column:
+def checks_with(detect: Callable[[Column], Column]) -> dict[str, Callable[[Column, Args], Column]]:
+    """The checks with another language detector, such as a trained profile's; an unknown language passes as before."""
+    english = lambda r: F.coalesce(detect(r), F.lit("en")) == "en"
+    return CHECKS | {
+        "language:response_language": lambda r, a: F.coalesce(detect(r) == a("language"), F.lit(True)),
+        "change_case:english_capital": lambda r, a: _all_case(r, True, english),
+        "change_case:english_lowercase": lambda r, a: _all_case(r, False, english),
+    }
+
+
+def follows(
+    instruction: Column, kwargs: Column, response: Column, known: list[str] | None = None, detect: Callable[[Column], Column] = detect_language
+) -> Column:
     """True if the response follows one instruction; blank responses and unknown instructions fail."""
     arg = lambda name: F.try_element_at(kwargs, F.lit(name))
-    out = F.lit(False)
-    for name in known or CHECKS:
-        out = F.when(instruction == name, F.coalesce(CHECKS[name](response, arg), F.lit(False))).otherwise(out)
+    checks, out = checks_with(detect), F.lit(False)
+    for name in known or checks:
+        out = F.when(instruction == name, F.coalesce(checks[name](response, arg), F.lit(False))).otherwise(out)
     return (strip(response) != "") & out
 
 
@@ -194,16 +210,18 @@ def loose_variants(response: Column) -> Column:
 
 
 def check_instructions(
-    df: DataFrame, key: list[str], ids: str, kwargs: str, response: str, known: list[str] | None = None, loose: bool = True
+    df: DataFrame, key: list[str], ids: str, kwargs: str, response: str, known: list[str] | None = None, loose: bool = True,
+    detect: Callable[[Column], Column] = detect_language,
 ) -> DataFrame:
     """Per document: instruction flags in order, strict and (if asked) loose, and the all-true flags.
 
     ``ids``: array of instruction names; ``kwargs``: array of string maps. Variants and
     checks stay arrays of the row, so nothing is shuffled. ``known`` narrows the tests
-    to the instruction names that occur in the data. Without ``loose`` no variant is made.
+    to the instruction names that occur in the data. Without ``loose`` no variant is made. ``detect`` names the language of
+    a text: a trained profile's ``detect`` (functions/language.py), or the vote of frequent words.
     """
     pairs = F.arrays_zip(F.col(ids).alias("i"), F.col(kwargs).alias("k"))
-    test = lambda r: F.transform(pairs, lambda p: follows(p["i"], p["k"], r, known))
+    test = lambda r: F.transform(pairs, lambda p: follows(p["i"], p["k"], r, known, detect))
     all_true = lambda name: F.forall(f"inst_level_{name}", lambda f: f).alias(f"prompt_level_{name}")
     if not loose:
         return df.select(*key, test(F.col(response)).alias("inst_level_strict")).select("*", all_true("strict"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.columns import let, words
 from tallyframe.operators.ordering import dense_index, group_index
@@ -133,19 +136,54 @@ def sha_fingerprints(df: DataFrame, doc: list[str], prompt: str, target: str) ->
     )
 
 
-def task_hashes(df: DataFrame, task: list[str], order: str, hash_col: str, block: int = 10_000) -> DataFrame:
-    """Hash of the sample hashes of a task in order, by one rule for every size.
+def task_hashes(df: DataFrame, task: list[str], order: str, hash_col: str) -> DataFrame:
+    """SHA-256 of a task's sample hashes, concatenated in order.
 
-    The sample hashes are joined and hashed in blocks, the block hashes in blocks of the same size, and those hashes once
-    more. No row of the plan holds more than ``block`` hashes up to ``block`` cubed samples of a task.
+    The hashes stream past one digest per task, sorted inside their partition, so no task's hashes are gathered in a row or
+    in memory. Equal places are ordered by the hash; a null hash adds nothing; null tasks are a task. :func:`block_hashes`
+    spreads one very large task over many workers, at the price of another rule.
+    """
+    rows = df.select(*task, order, F.col(hash_col).cast("string").alias("_hash")).repartition(*task).sortWithinPartitions(*task, order, "_hash")
+    keys = rows.select(*task)
+    types = keys.limit(0).toArrow().schema.types
+
+    def made(out):
+        columns = list(zip(*out)) or [()] * (len(task) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string()])], [*task, "task_hash"])
+
+    def digests(batches):
+        now, key = None, None
+        for batch in batches:
+            out = []
+            for *own, value in zip(*(batch.column(c).to_pylist() for c in [*task, "_hash"])):
+                if now is None or own != key:
+                    if now is not None:
+                        out.append([*key, now.hexdigest()])
+                    now, key = hashlib.sha256(), own
+                now.update((value or "").encode())
+            yield made(out)
+        if now is not None:
+            yield made([[*key, now.hexdigest()]])
+
+    return rows.mapInArrow(digests, T.StructType([*keys.schema.fields, T.StructField("task_hash", T.StringType())]))
+
+
+def block_hashes(df: DataFrame, task: list[str], order: str, hash_col: str, block: int = 10_000) -> DataFrame:
+    """One hash of a task's sample hashes in order that many workers make together.
+
+    The sample hashes are joined and hashed in blocks, then the block hashes in blocks of the same size, until one is left
+    for every task. No row of the plan holds more than ``block`` hashes, however many samples a task has.
     """
     numbered = group_index(df.select(*task, order, hash_col), task, [order], "_rn")
     level = numbered.select(*task, (F.col("_rn") - 1).alias("_p"), F.col(hash_col).alias("_h"))
     joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), ""), 256)
-    for _ in range(2):
+    most = level.agg(F.max("_p")).first()[0] or 0
+    while True:
         blocked = level.withColumn("_b", F.floor(F.col("_p") / block))
         level = blocked.groupBy(*task, "_b").agg(joined.alias("_h")).withColumnRenamed("_b", "_p")
-    return level.groupBy(*task).agg(joined.alias("task_hash"))
+        most //= block
+        if not most:
+            return level.select(*task, F.col("_h").alias("block_hash"))
 
 
 def prune_by_length(df: DataFrame, text: str, max_tokens: int, token_count: Column | None = None) -> DataFrame:

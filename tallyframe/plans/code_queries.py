@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import code as C
 from tallyframe.functions import instructions as I
+from tallyframe.functions import language as L
 from tallyframe.operators import aggregates as A
 from tallyframe.operators import attempts as T
 from tallyframe.plans import bindings as B
@@ -217,3 +218,37 @@ VOTE_SQL = ", ".join(
 def detected_language(spark, sf):
     d = B.table(spark, sf, "documents")
     return d.groupBy("lang", I.detect_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
+
+
+# Learned from three quarters of the documents, tried on the last one; the same counts, logarithms and sums in SQL.
+LANGUAGES = """with t as (select doc_id, lang, list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> '') as w from documents),
+  e as (select doc_id, lang, flatten(list_transform(w, lambda x: ['^' || left(x, 3), right(x, 3) || '$'])) as g from t),
+  c as (select lang, gram, count(*) as n from (select lang, unnest(g) as gram from e where doc_id % 4 <> 0) group by 1, 2),
+  v as (select distinct gram from (select *, row_number() over (partition by lang order by n desc, gram) as k from c) where k <= 150),
+  m as (select l.lang, v.gram, coalesce(c.n, 0) as n from (select distinct lang from c) l cross join v left join c on c.lang = l.lang and c.gram = v.gram),
+  s as (select lang, gram, round(16 * ln((n + 1)::double / (sum(n) over (partition by lang) + (select count(*) from v))))::bigint as w from m),
+  z as (select doc_id, s.lang, sum(w) as w from (select doc_id, unnest(g) as gram from e where doc_id % 4 = 0) p join s on s.gram = p.gram group by 1, 2),
+  b as (select doc_id, lang, row_number() over (partition by doc_id order by w desc, lang) as k from z),
+  o as (select e.doc_id, e.lang, b.lang as detected from e left join b on b.doc_id = e.doc_id and k = 1 where e.doc_id % 4 = 0)"""
+
+
+def held_out_languages(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    profile = L.train_languages(d.filter("doc_id % 4 <> 0"), "text", "lang")
+    return d.filter("doc_id % 4 = 0"), profile
+
+
+@query("H51", LANGUAGES + " select lang, detected, count(*) as n from o group by 1, 2")
+def language_confusion(spark, sf):
+    """Languages of held-out documents against those that the trained profile finds."""
+    d, profile = held_out_languages(spark, sf)
+    return d.groupBy("lang", profile.detect(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
+
+
+@query("H51", LANGUAGES + " select doc_id, coalesce(detected = lang, true) and regexp_matches(text, '\\S') as follows from o join documents using (doc_id, lang)")
+def check_response_language(spark, sf):
+    """The language instruction with the trained profile as detector."""
+    d, profile = held_out_languages(spark, sf)
+    asked = d.select("doc_id", "text", F.array(F.lit("language:response_language")).alias("ids"), F.array(F.create_map(F.lit("language"), "lang")).alias("kwargs"))
+    out = I.check_instructions(asked, ["doc_id"], "ids", "kwargs", "text", known=["language:response_language"], loose=False, detect=profile.detect)
+    return out.select("doc_id", F.col("prompt_level_strict").alias("follows"))

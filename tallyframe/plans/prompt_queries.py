@@ -374,3 +374,61 @@ def adapt_truthful_references(spark, sf):
     )
     out = C.adapt_item(p, "truthfulqa")
     return out.select("p_partkey", F.array_join("correct_answers", "|").alias("correct"), F.array_join("incorrect_answers", "|").alias("incorrect"))
+
+
+@query("P23", "select p_partkey, (p_size % 3)::int as gold, case p_size % 3 when 0 then p_name when 1 then p_brand else p_type end as target from part")
+def adapt_one_based_answer(spark, sf):
+    p = B.table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") % 3 + 1).cast("string").alias("correct_answer_id"), F.array("p_name", "p_brand", "p_type").alias("answer_options")
+    )
+    return C.adapt_item(p, "qa4mre").select("p_partkey", "gold", "target")
+
+
+@query(
+    "P23",
+    """select p_partkey, 'Question: ' || p_name || '?' || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'C. ' || p_size || chr(10) || 'D. none' || chr(10) || 'Answer:' as text from part""",
+)
+def adapt_four_endings(spark, sf):
+    p = B.table(spark, sf, "part").select(
+        "p_partkey", F.concat("p_name", F.lit("?")).alias("sent1"), F.col("p_brand").alias("ending0"), F.col("p_type").alias("ending1"),
+        F.col("p_size").cast("string").alias("ending2"), F.lit("none").alias("ending3"),
+    )
+    return C.adapt_item(p, "medqa").select("p_partkey", "text")
+
+
+@query(
+    "P23",
+    """select p_partkey, 'The ' || p_name || ' met it. ' || p_brand as text,
+         'the ' || p_name || case when p_size % 2 = 0 then chr(39) || 's' else '' end || '|' || p_brand || case when p_size % 2 = 0 then chr(39) || 's' else '' end as options from part""",
+)
+def adapt_pronoun_options(spark, sf):
+    """A possessive pronoun asks for possessive options; "The" inside a sentence is lower-cased."""
+    p = B.table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit("The  "), "p_name", F.lit(" met  it. "), "p_brand").alias("text"), F.array(F.concat(F.lit("The "), "p_name"), F.col("p_brand")).alias("options"),
+        F.when(F.col("p_size") % 2 == 0, "His").otherwise("it").alias("pronoun"), F.lit(6).alias("pronoun_loc"),
+    )
+    return C.adapt_item(p, "wsc273").select("p_partkey", "text", F.array_join("options", "|").alias("options"))
+
+
+@query(
+    "P23",
+    """select p_partkey, upper(p_name[1]) || lower(p_name[2:]) || ' ' || upper(p_type[1]) || lower(p_type[2:]) || ' ' || upper(p_brand[1]) || lower(p_brand[2:]) as query,
+         p_type || '|' || p_brand as choices, 0 as label from part""",
+)
+def adapt_moral_story(spark, sf):
+    p = B.table(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("norm"), F.col("p_type").alias("situation"), F.col("p_brand").alias("intention"),
+        F.col("p_type").alias("moral_action"), F.col("p_brand").alias("immoral_action"),
+    )
+    return C.adapt_item(p, "moral_stories").select("p_partkey", "query", F.array_join("choices", "|").alias("choices"), "label")
+
+
+@query("P23", "select p_partkey from part where p_size % 5 <> 0 and p_size % 7 <> 0 and p_size % 11 <> 0 and p_size % 13 <> 0")
+def adapt_prescriptions(spark, sf):
+    """Rows without a diagnosis, without medicines, or with either in an Indic script go."""
+    n, name = F.col("p_size"), F.col("p_name")
+    p = B.table(spark, sf, "part").select(
+        "p_partkey", F.when(n % 5 == 0, "NA").when(n % 7 == 0, F.concat(name, F.lit(" ब"))).otherwise(name).alias("diagnosis"),
+        F.when(n % 11 == 0, F.array().cast("array<string>")).when(n % 13 == 0, F.array(name, F.lit("दव"))).otherwise(F.array("p_brand")).alias("medicines"),
+    )
+    return C.adapt_item(p, "prescriptions").select("p_partkey")

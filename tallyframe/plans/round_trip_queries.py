@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import ngrams as N
@@ -53,6 +55,19 @@ def write_sample_logs(spark, sf):
     return back.select("conv_id", "turn", "model", "task", "target", F.get("filtered_resps", F.lit(0)).alias("filtered"))
 
 
+@query("S3 S8", "select conv_id, turn, role as task, 'm' || (conv_id % 2) as model, text as target from conversations")
+def read_sample_logs(spark, sf):
+    """Logs of two models in files named by task and time, read back with the task from the name of each file."""
+    path = fresh_folder(spark, "sample-logs")
+    c = B.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("target"))
+    for k, role in itertools.product(range(2), ("system", "user", "assistant")):
+        rows = c.filter((F.col("conv_id") % 2 == k) & (F.col("role") == role)).drop("role")
+        tables.write_sample_log(rows, f"{path}/m{k}", role, f"2024-0{k + 1}-02T03-04-05")
+    schema = c.drop("role").schema
+    back = tables.read_sample_logs(spark, path, schema)
+    return back.select("conv_id", "turn", "task", F.regexp_extract("path", "/(m[0-9])/samples_", 1).alias("model"), "target")
+
+
 @query(
     "S4 S9",
     """select 'model_' || (user_id % 3) as model, event_type as task, 'acc,none' as metric, round(avg(value), 6) as value from events group by 1, 2""",

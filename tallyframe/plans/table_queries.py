@@ -372,19 +372,31 @@ def disjoint_windows(spark, sf):
     return out.select("doc_id", "window_id", F.size(R.disjoint_window(F.col("w"))["input"]).alias("context_len"))
 
 
+HASHES = """h as (select lang, doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' || sha256(text) || sha256(lang)) as h,
+                 row_number() over (partition by lang order by doc_id) - 1 as p from documents)"""
+
+
+def sample_hashes(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return d.withColumn("sample_hash", R.fingerprint(F.to_json(F.struct("doc_id", "lang")), F.sha2("text", 256), F.sha2("lang", 256)))
+
+
+@query("P16", f"with {HASHES} select lang, sha256(string_agg(h, '' order by p)) as task_hash from h group by lang")
+def task_hashes(spark, sf):
+    return R.task_hashes(sample_hashes(spark, sf), ["lang"], "doc_id", "sample_hash")
+
+
+# As many levels as the largest task needs: its number of samples, divided by ten until nothing is left.
 @query(
     "P16",
-    """with h as (select lang, doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}' || sha256(text) || sha256(lang)) as h,
-                 row_number() over (partition by lang order by doc_id) - 1 as p from documents),
-       b as (select lang, p // 100 as p, sha256(string_agg(h, '' order by p)) as h from h group by lang, p // 100),
-       c as (select lang, p // 100 as p, sha256(string_agg(h, '' order by p)) as h from b group by lang, p // 100)
-       select lang, sha256(string_agg(h, '' order by p)) as task_hash from c group by lang""",
+    f"""with recursive {HASHES}, n as (select max(p) as most from h),
+       l as (select 0 as k, lang, p::bigint as p, h from h
+             union all select k, lang, p, h from (select k + 1 as k, lang, p // 10 as p, sha256(string_agg(h, '' order by p)) as h from l group by k, lang, p // 10), n
+             where k = 1 or most // pow(10, k - 1)::bigint > 0)
+       select lang, h as block_hash from l where k = (select max(k) from l)""",
 )
-def task_hashes(spark, sf):
-    d = B.table(spark, sf, "documents").select("doc_id", "lang", "text")
-    doc = F.to_json(F.struct("doc_id", "lang"))
-    d = d.withColumn("sample_hash", R.fingerprint(doc, F.sha2("text", 256), F.sha2("lang", 256)))
-    return R.task_hashes(d, ["lang"], "doc_id", "sample_hash", block=100)
+def block_hashes(spark, sf):
+    return R.block_hashes(sample_hashes(spark, sf), ["lang"], "doc_id", "sample_hash", block=10)
 
 
 @query(

@@ -45,16 +45,21 @@ def task_from_sample_path(path: Column, prefix: str = "samples_", suffix: str =
     return F.regexp_extract(name, pattern, 1)
 
 
+def write_sample_log(df: DataFrame, root: str, task: str, time: str) -> None:
+    """JSON lines of one task and run time in a folder ``samples_<task>_<time>.jsonl``, whose parts carry its name."""
+    df.write.mode("overwrite").json(f"{root}/samples_{task}_{time}.jsonl")
+
+
 def read_sample_logs(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """All ``samples_<task>_<time>.jsonl`` files below ``root`` with their task name."""
-    raw = (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "samples_*.jsonl")
-        .json(root)
-        .select("*", F.col("_metadata.file_path").alias("path"))
-    )
-    return raw.withColumn("task", task_from_sample_path(F.col("path")))
+    """All ``samples_<task>_<time>.jsonl`` below ``root`` with their task name; such a log is a file or a folder of parts.
+
+    The filter on the file's own path is applied when files are listed, so other files are not read.
+    """
+    path = F.col("_metadata.file_path")
+    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(root)
+    logs = raw.filter(path.rlike(r"/samples_[^/]*\.jsonl(/[^/]*)?$"))
+    logs = logs.select("*", F.regexp_replace(path, r"(\.jsonl)/[^/]*$", "$1").alias("path"))
+    return logs.withColumn("task", task_from_sample_path(F.col("path")))
 
 
 RESULTS = T.StructType([T.StructField("results", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))])

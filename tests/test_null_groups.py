@@ -9,7 +9,7 @@ from tallyframe.functions import registry as R, text as X
 from tallyframe.operators import aggregates as A, prompts as P
 from tallyframe.operators.bootstrap import bootstrap_stderr
 from tallyframe.operators.ordering import dense_index, group_index, running_totals
-from tallyframe.operators.requests import batch_requests, task_hashes
+from tallyframe.operators.requests import batch_requests, block_hashes, task_hashes
 from tallyframe.operators.selection import limit_docs
 
 ROWS = [(1, "a", 1.0), (2, None, 2.0), (3, "a", None), (4, None, 4.0), (5, "b", 5.0), (6, None, 6.0)]
@@ -55,12 +55,20 @@ def test_task_hash_is_one_rule_at_every_size(spark):
     df = spark.createDataFrame(rows, "task string, id long, h string")
 
     def rule(hashes, block):
-        for _ in range(2):
+        while True:
             hashes = [hashlib.sha256("".join(hashes[i : i + block]).encode()).hexdigest() for i in range(0, len(hashes), block)]
-        return hashlib.sha256("".join(hashes).encode()).hexdigest()
+            if len(hashes) == 1:
+                return hashes[0]
 
     for block in (2, 3, 100):
-        assert task_hashes(df, ["task"], "id", "h", block).first()["task_hash"] == rule([r[2] for r in rows], block)
+        assert block_hashes(df, ["task"], "id", "h", block).first()["block_hash"] == rule([r[2] for r in rows], block)
+
+
+def test_task_hash_of_null_tasks_and_null_hashes(spark):
+    rows = [("t", 2, "b"), ("t", 1, "a"), (None, 1, "x"), (None, 2, None), ("u", None, "q"), ("u", 0, "p"), ("t", 3, "c")]
+    found = dict(map(tuple, task_hashes(spark.createDataFrame(rows, "task string, id long, h string").repartition(3), ["task"], "id", "h").collect()))
+    assert found == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in {"t": "abc", None: "x", "u": "qp"}.items()}
+    assert task_hashes(spark.createDataFrame([], "task string, id long, h string"), ["task"], "id", "h").collect() == []
 
 
 def test_limit_docs(df):
