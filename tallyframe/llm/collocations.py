@@ -7,10 +7,10 @@ words; counts them per group; and semi-joins the frequent groups back before the
 clustered, one row per text with its sorted positions and phrases, so the merge join needs no exchange; only counts that
 were summed in the task travel.
 
-Phrases are numbers of 64 bits, exact all the same: two words of one number start the numbering anew with other numbers,
-and a longer phrase is looked up by its number and then compared by its two parts. Frequent groups are sent to the tasks
-while they measure less than ``GROUP_BYTES``; beyond it occurrences meet them in a shuffled join and the relation is
-gathered again by row.
+Frequent phrases of a length are numbered without gaps. A task finds a word's number by a hash of 64 bits, which is exact all
+the same: two words of one hash start anew with other hashes, and a longer phrase is looked up by a hash of its two parts and
+then compared by the parts. Frequent groups are sent to the tasks while they measure less than ``GROUP_BYTES``; beyond it
+occurrences meet them in a shuffled join and the relation is gathered again by row.
 
 Defined cases: null text is empty, a null language is ``und``. Empty and very long texts count like any other (a text is one
 row of the relation). Repeated rows count once each. Equal scores are ordered by count, then by the phrase's bytes. An empty
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyframe.llm.registry import query
 from tallyframe.llm.shared import table, text_of, written
 from tallyframe.llm.textnp import BASE, LOWER, buffers, mix, row_chunks, word_bounds, word_hashes
+from tallyframe.operators.ordering import dense_index
 
 # Bytes that end a piece, and those that only end a word.
 PIECE_END = np.zeros(256, bool)
@@ -49,8 +50,8 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def phrase_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of the phrase that begins with phrase ``a`` and ends with phrase ``b``, which overlaps it or follows it."""
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the phrase that begins with phrase ``a`` and ends with phrase ``b``, which overlaps it or follows it."""
     return signed(mix((mix(a.view(np.uint64)) + b.view(np.uint64)) * BASE))
 
 
@@ -115,30 +116,36 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(lambda batches: counted(batches, seed), WORDS).groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
 
-def number_words(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Written counts of all words under numbers that no two words share, and the seed of these numbers."""
+def number_words(docs: DataFrame, min_count: int) -> tuple[DataFrame, int]:
+    """Written counts of all words under hashes that no two words share, and the seed of these hashes; rare words lose their text."""
     for seed in range(256):
-        words = written(word_counts(docs, seed), "words")
+        words = word_counts(docs, seed).withColumn("word", F.when(F.col("n") >= min_count, F.col("word")))
+        words = written(words, "words")
         if words.groupBy("id").count().filter("count > 1").isEmpty():
             return words, seed
-    raise RuntimeError("two words share a number under every seed")
+    raise RuntimeError("two words share a hash under every seed")
 
 
 class Groups:
-    """Frequent groups (id, a, b) in tasks: sorted numbers, looked up and then compared by their parts."""
+    """Frequent groups (id, a, b) in tasks: sorted hashes of (a, b), looked up and then compared by both parts."""
 
     def __init__(self, frequent: DataFrame):
         rows = frequent.select("id", "a", "b").toArrow()
         id_, a, b = (rows.column(c).to_numpy() for c in ("id", "a", "b"))
-        order = np.argsort(id_)
-        self.id, self.a, self.b = id_[order], a[order], b[order]
-
-    def find(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Which of the occurrences belong to a frequent group."""
+        hashes = pair_hashes(a, b)
+        order = np.argsort(hashes)
+        self.hash, self.a, self.b, self.id = hashes[order], a[order], b[order], id_[order]
+        if (self.hash[1:] == self.hash[:-1]).any():
+            raise RuntimeError("two frequent phrases share a hash")
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the occurrences that belong to a frequent group, and the groups' numbers."""
         if not len(self.id):
-            return np.zeros(len(ids), bool)
-        at = np.minimum(np.searchsorted(self.id, ids), len(self.id) - 1)
-        return (self.id[at] == ids) & (self.a[at] == a) & (self.b[at] == b)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hashes = pair_hashes(a, b)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.id) - 1)
+        hit = np.flatnonzero((self.hash[at] == hashes) & (self.a[at] == a) & (self.b[at] == b))
+        return hit, self.id[at[hit]]
 
 
 def is_small(frequent: DataFrame, limit: int) -> bool:
@@ -172,8 +179,8 @@ def word_relation(docs: DataFrame, frequent: DataFrame, seed: int, limit: int) -
                 if groups is None:
                     yield pa.RecordBatch.from_arrays([pa.array(row[first + rows]), pa.array(pos.astype(np.int32)), pa.array(ids), pa.array(ids)], ["row", "pos", "a", "b"])
                 else:
-                    keep = groups.value.find(ids, ids, ids)
-                    yield clustered(row[first:last], rows[keep], pos[keep], ids[keep])
+                    keep, own = groups.value.find(ids, ids)
+                    yield clustered(row[first:last], rows[keep], pos[keep], own)
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     if groups is None:
@@ -205,17 +212,6 @@ def pair_counts(relation: DataFrame) -> DataFrame:
     return relation.mapInArrow(count, PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def numbered(pairs: DataFrame) -> DataFrame:
-    """Frequent groups with their numbers."""
-
-    def number(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(phrase_ids(a, b))], ["a", "b", "n", "id"])
-
-    return pairs.mapInArrow(number, PAIRS + ", id long")
-
-
 def extend(relation: DataFrame, frequent: DataFrame, limit: int) -> DataFrame:
     """Occurrences one word longer, semi-joined with the frequent groups."""
     groups = relation.sparkSession.sparkContext.broadcast(Groups(frequent)) if is_small(frequent, limit) else None
@@ -227,9 +223,8 @@ def extend(relation: DataFrame, frequent: DataFrame, limit: int) -> DataFrame:
             if groups is None:
                 yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(pos), pa.array(a), pa.array(b)], ["row", "pos", "a", "b"])
             else:
-                ids = phrase_ids(a, b)
-                keep = groups.value.find(a, b, ids)
-                yield clustered(row, at[keep], pos[keep], ids[keep])
+                keep, own = groups.value.find(a, b)
+                yield clustered(row, at[keep], pos[keep], own)
 
     if groups is None:
         return gathered(relation.mapInArrow(joined, "row long, pos int, a long, b long"), frequent)
@@ -241,16 +236,15 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases (lang, phrase, m, a) of one to ``max_words`` words found ``min_count`` times, and the words per language."""
     docs = docs.select(text_of(text_col).alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    words, seed = number_words(docs)
-    often = written(words.filter(F.col("n") >= min_count).select("id", F.col("id").alias("a"), F.col("id").alias("b"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n"), "phrases-1")
+    words, seed = number_words(docs, min_count)
+    often = words.filter(F.col("n") >= min_count).select(F.col("id").alias("a"), F.col("id").alias("b"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n")
+    often = written(dense_index(often, ["a"], "id"), "phrases-1")
     found, phrases = [often], often
     relation = written(word_relation(docs, often, seed, limit), "relation-1")
     for m in range(2, max_words + 1):
-        often = written(numbered(pair_counts(relation).filter(F.col("n") >= min_count)), f"groups-{m}")
+        often = written(dense_index(pair_counts(relation).filter(F.col("n") >= min_count), ["a", "b"], "id"), f"groups-{m}")
         if often.isEmpty():
             break
-        if not often.groupBy("id").count().filter("count > 1").isEmpty():
-            raise RuntimeError("two frequent phrases share a number")
         head = phrases.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head"))
         tail = phrases.select(F.col("id").alias("b"), "last")
         phrase = F.concat_ws(" ", "head", "last").alias("phrase")
