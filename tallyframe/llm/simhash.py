@@ -2,7 +2,8 @@
 
 Terms are pairs of neighbouring words (the last word stands alone), lower-cased and hashed to 64 bits; a term weighs as much
 as its first word has characters, up to ``MAX_WEIGHT``. Every occurrence votes for or against each bit. Four bits are
-counted in one 64-bit number (lanes of 16 bits, which ``CHUNK`` terms cannot overflow), so a term costs 16 additions.
+counted in one 64-bit number (lanes of 16 bits, which ``CHUNK`` terms cannot overflow), so a term costs 16 additions. The
+terms that a text and its edited text begin with vote once for both.
 
 The search cuts fingerprints into ``blocks`` blocks. Two fingerprints within ``radius`` bits differ in at most ``radius`` blocks
 and agree in the others, so they share the key of at least one table that keeps ``blocks - radius`` blocks; such pairs are
@@ -40,40 +41,56 @@ EVERY = 20
 ID_BLOCKS = 2
 
 
-def terms(text: Column) -> Column:
-    """(hash, weight) of every pair of neighbouring words."""
-    one = lambda words: F.transform(
-        words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1)).alias("h"), F.least(F.length(w), F.lit(MAX_WEIGHT)).cast("long").alias("w"))
-    )
-    return F.aggregate(F.array(F.lit(0)), words_of(F.lower(text)), lambda acc, _: acc, one)
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body``."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
+
+
+def terms(words: Column, first: Column | int = 0) -> Column:
+    """(hash, weight) of every pair of neighbouring words from word ``first`` on."""
+    hashed = lambda w, i: F.xxhash64(w, F.get(words, i + 1 + first))
+    one = lambda w, i: F.struct(hashed(w, i).alias("h"), F.least(F.length(w), F.lit(MAX_WEIGHT)).cast("long").alias("w"))
+    return F.transform(F.slice(words, F.lit(1) + first, F.size(words)), one)
 
 
 def votes(found: Column) -> Column:
-    """Weight for each bit: sixteen numbers of four lanes per chunk of terms, the last field the chunk's whole weight."""
+    """Weight for each bit: per chunk of terms sixteen numbers of four lanes, and the chunk's whole weight."""
     zero = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(LANE)], F.lit(0).cast("long").alias("all"))
     add = lambda acc, t: F.struct(
         *[(acc[f"c{j}"] + F.shiftrightunsigned(t["h"], j).bitwiseAND(F.lit(ONES)) * t["w"]).alias(f"c{j}") for j in range(LANE)],
         (acc["all"] + t["w"]).alias("all"),
     )
+    listed = lambda acc: F.array(*[acc[f"c{j}"] for j in range(LANE)], acc["all"])
     starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(CHUNK))
-    return F.transform(starts, lambda s: F.aggregate(F.slice(found, s, CHUNK), zero, add))
-
-
-def fingerprint(text: Column) -> Column:
-    """The SimHash of a text as a 64-bit number; a bit is set where more than half of the weight votes for it."""
-
-    def bits(chunks: Column) -> Column:
-        total = F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, c: acc + c["all"])
-        lane = lambda c, bit: F.shiftrightunsigned(c[f"c{bit % LANE}"], bit // LANE * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
-        weight = lambda bit: F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, c: acc + lane(c, bit))
-        high = lambda bit: F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")
-        out = F.lit(0).cast("long")
-        for bit in range(BITS):
-            out = out.bitwiseOR(F.when(weight(bit) * 2 > total, high(bit)).otherwise(F.lit(0).cast("long")))
-        return out
-
-    bind = lambda value, body: F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
-    return bind(terms(text), lambda found: bind(votes(found), bits))
+    return F.transform(starts, lambda s: F.aggregate(F.slice(found, s, CHUNK), zero, add, listed))
+
+
+def fingerprint(chunks: Column) -> Column:
+    """The SimHash of a text as a 64-bit number, from its :func:`votes`; a bit is set where more than half of the weight votes for it."""
+    none = F.lit(0).cast("long")
+    lane = lambda c, bit: F.call_function("shiftrightunsigned", F.get(c, bit % LANE), F.floor(bit / LANE).cast("int") * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
+    weight = lambda bit: F.aggregate(chunks, none, lambda acc, c: acc + lane(c, bit))
+    total = F.aggregate(chunks, none, lambda acc, c: acc + F.get(c, F.lit(LANE)))
+    high = lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = F.sequence(F.lit(0), F.lit(BITS - 1))
+    return bind(total, lambda all_: F.aggregate(bits, none, lambda out, bit: F.when(weight(bit) * 2 > all_, out.bitwiseOR(high(bit))).otherwise(out)))
+
+
+def two_fingerprints(text: Column, edited: Column, kept: Column) -> Column:
+    """struct(fp, edited_fp) of a text and of another one that begins with the text's part ``kept``.
+
+    All words of the kept part but its last one stand in both texts, and so do their pairs but the last; these vote once.
+    """
+    cut = lambda t: words_of(F.lower(t))
+    words = F.struct(cut(text).alias("a"), cut(edited).alias("b"), F.greatest(F.size(cut(kept)) - 2, F.lit(0)).alias("n"))
+    shared = lambda w: F.slice(w["a"], F.lit(1), w["n"] + 1)
+    part = lambda w: F.struct(
+        votes(F.slice(terms(shared(w)), F.lit(1), w["n"])).alias("both"), votes(terms(w["a"], w["n"])).alias("a"), votes(terms(w["b"], w["n"])).alias("b")
+    )
+    both = lambda v: F.struct(
+        bind(F.concat(v["both"], v["a"]), fingerprint).alias("fp"), bind(F.concat(v["both"], v["b"]), fingerprint).alias("edited_fp")
+    )
+    return bind(words, lambda w: bind(part(w), both))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -157,10 +174,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.length("t")
     gone = F.floor(n / 4).cast("int")
     near = dealt.withColumn("next", F.lead("t").over(order))
-    edited = F.concat(F.substr("t", F.lit(1), n - gone), F.substr(F.coalesce("next", F.lit("")), F.lit(1), gone))
-    near = near.select("doc_id", "h", "block", "copied", n.cast("long").alias("n_chars"), "t", edited.alias("edited"))
-    own = F.when(~F.col("copied"), F.col("edited"))  # a copied row only serves the one before it
-    near = near.select("doc_id", "h", "block", "copied", "n_chars", F.sha2(own, 256).alias("edited_sha256"), fingerprint(F.col("t")).alias("fp"), fingerprint(own).alias("edited_fp"))
+    kept = F.substr("t", F.lit(1), n - gone)
+    near = near.select("doc_id", "h", "block", "copied", n.cast("long").alias("n_chars"), "t", kept.alias("kept"), F.substr(F.coalesce("next", F.lit("")), F.lit(1), gone).alias("tail"))
+    edited = F.concat("kept", "tail")
+    near = near.select("doc_id", "h", "block", "copied", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), two_fingerprints(F.col("t"), edited, F.col("kept")).alias("f"))
+    near = near.select("doc_id", "h", "block", "copied", "n_chars", "edited_sha256", "f.fp", "f.edited_fp")
     return near.withColumn("next_fp", F.lead("fp").over(order)).filter(~F.col("copied")).drop("h", "block", "copied")
 
 
