@@ -88,20 +88,17 @@ def host_figures(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside))
 
 
-def contaminated(text, items, masks=("11011001", "10110011", "11100101")):
+def contaminated(text, items, least=3):
+    """Whether some 13 aligned words of an item (all of a shorter one) agree in 75 percent, all of them in items of fewer than 8."""
     cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     words = cut(text)
     for item in map(cut, items):
+        of = min(13, len(item))
+        if len(item) < least:
+            continue
         for shift in range(-len(item), len(words)):
-            pairs = [(words[k + shift] if 0 <= k + shift < len(words) else None, w) for k, w in enumerate(item)]
-            equal = [a == b for a, b in pairs]
-            inside = [a is not None for a, _ in pairs]
-            seeded = any(
-                all(inside[i : i + 8]) and all(equal[i + k] for k, m in enumerate(mask) if m == "1")
-                for i in range(len(item) - 7) for mask in masks
-            )
-            of = min(13, len(item))
-            if seeded and any(100 * sum(equal[i : i + of]) >= 75 * of for i in range(len(item) - of + 1)):
+            equal = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
+            if any(100 * sum(equal[i : i + of]) >= (100 if of < 8 else 75) * of for i in range(len(item) - of + 1)):
                 return True
     return False
 
