@@ -4,8 +4,8 @@ Each line is a paragraph, and so is each run of lines with words, so that hard-w
 ``n_paragraphs`` counts the lines. Paragraphs of more than ``WINDOW`` words are looked at in overlapping windows, so whole
 texts are read. A hit of a run names the line of its first words and takes the place of less similar hits in its own lines.
 Features are the 1- to 3-word sequences of the templates. A softmax over the families and "unknown" is trained on varied
-templates and on paragraphs of at most ``SAMPLE`` documents (chosen by a hash of their id) without licence text. The
-least probability of a family is calibrated on held-out unknown paragraphs. A prediction counts if the paragraph also
+templates and on about ``SAMPLE`` pieces of at most ``WINDOW`` words without licence text, chosen by a hash of their words
+from all pieces of all texts. The least probability of a family is calibrated on held-out unknown pieces. A prediction counts if the paragraph also
 holds ``SIMILAR`` of the n-grams of one template of that family.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows are scanned alike; without any sample only the
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm import textnp
 from tallyframe.llm.registry import query
-from tallyframe.llm.shared import table
+from tallyframe.llm.shared import table, words_of
 
 # Wordings by which licence families are commonly declared.
 TEMPLATES = {
@@ -50,6 +50,26 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "public-domain": ["This work has been dedicated to the public domain.", "To the extent possible under law, the author has waived all copyright (CC0 1.0)."],
+    "lgpl": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.", "Released under the LGPL version 3 or later.",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL version 3 or later.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "unlicense": [
+        "Released under the Unlicense.", "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "epl-2.0": [
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    ],
     "proprietary": ["All rights reserved.", "Copyright 2020 the authors. All rights reserved. No part may be reproduced without written permission."],
 }
 # Sentences that use words of licences without granting one.
@@ -60,7 +80,7 @@ OTHERS = [
 ]
 FAMILIES = [*TEMPLATES, "unknown"]
 WINDOW = 64
-SAMPLE = 500
+SAMPLE = 8000
 SIMILAR = 0.6
 FALSE_RATE = 0.001
 OUTPUT = (
@@ -178,11 +198,20 @@ def fit(unknown: list[str]) -> Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit to paragraphs of a bounded sample of documents."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") < 20_000)
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = texts.join(F.broadcast(ids), "doc_id").select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("p"))
-    return fit(sorted({r["p"] for r in rows.distinct().collect() if r["p"].strip()}))
+    """Fit to a bounded sample of the pieces of all texts.
+
+    The pieces are counted first; the hash bound that leaves about twice ``SAMPLE`` of them follows from their number, so that
+    only these are compared with each other and ordered.
+    """
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    words = lines.select(words_of(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(WINDOW))
+    pieces = words.select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("p"))
+    n = words.agg(F.sum(F.ceil(F.size("w") / WINDOW))).first()[0] or 0
+    share = min(1.0, 2 * SAMPLE / max(n, 1))
+    low = F.xxhash64("p").between(-(1 << 63), int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
+    rows = pieces.filter(low).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE)
+    return fit(sorted(r["p"] for r in rows.collect()))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -245,6 +274,7 @@ def _wrapped(
     counts = np.bincount(run, minlength=n_runs)
     heads = np.cumsum(counts) - counts
     hits: list[tuple[int, int, int, float, float]] = []
+    latest: dict[int, int] = {}
     for g, p, features in _predicted(model, group[several], feature[several]):
         c, own = int(p[:-1].argmax()), g >> 32
         shares = np.where(model.family == c, model.templates[:, features].sum(1) / model.templates.sum(1), -1)
@@ -257,10 +287,14 @@ def _wrapped(
         size = int(np.flatnonzero(seen.any(0)).max())
         where = np.flatnonzero(seen[:, size])
         one = (int(a + where[0]), int(min(a + where[-1] + size, heads[own] + counts[own] - 1)), c, float(p[c]), float(shares[best]))
-        # Overlapping windows may see the same words: the most similar hit counts.
-        same = [x for x in hits[-4:] if x[2] == c and x[0] <= one[1] and one[0] <= x[1]]
-        if all(x[4] < one[4] for x in same):
-            hits = [x for x in hits if x not in same] + [one]
+        # A window overlaps the one before it, which may have seen the same words: the more similar hit counts.
+        before = hits[latest[c]] if c in latest else None
+        if before and before[0] <= one[1] and one[0] <= before[1]:
+            if before[4] < one[4]:
+                hits[latest[c]] = one
+            continue
+        latest[c] = len(hits)
+        hits.append(one)
     return [(int(word_line[a]), int(word_line[b]), c, p, share) for a, b, c, p, share in hits]
 
 
