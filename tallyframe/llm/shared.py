@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyframe.session import checkpoint_dir
+
 # Fixed value: the white space that separates words (space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a scratch one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tallyframe-llm-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a scratch one only in local mode, an error elsewhere."""
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
