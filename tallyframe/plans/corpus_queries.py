@@ -154,17 +154,16 @@ def rouge_lsum(spark, sf):
 
 @query(
     "H31",
-    f"""with yes as ({LSUM.replace('{src}', B.REPLIES_SQL)} select id, round(f, 9) as y from f),
-        no as ({LSUM.replace('{src}', "(select conv_id, turn, pred, replace('" + FALSE_TEXT.replace(chr(10), '~') + "', '~', chr(10)) as ref from " + B.REPLIES_SQL + ")")} select id, round(f, 9) as n from f)
-        select id // 1000 as conv_id, id % 1000 as turn, y as rouge_lsum_max, round(y - n, 8) as rouge_lsum_diff, (y > n)::int as rouge_lsum_acc from yes join no using (id)""",
+    f"""with yes as ({LSUM.replace('{src}', B.REPLIES_SQL)} select id, f as y from f),
+        no as ({LSUM.replace('{src}', "(select conv_id, turn, pred, replace('" + FALSE_TEXT.replace(chr(10), '~') + "', '~', chr(10)) as ref from " + B.REPLIES_SQL + ")")} select id, f as n from f)
+        select id // 1000 as conv_id, id % 1000 as turn, round(y, 9) as rouge_lsum_max, round(y - n, 9) as rouge_lsum_diff, (y > n)::int as rouge_lsum_acc from yes join no using (id)""",
 )
 def true_false_rouge_lsum(spark, sf):
     """Summary-level similarity of a reply with a true and with a false reference."""
     r = B.replies(spark, sf).withColumn("false", F.lit(FALSE_TEXT))
     both = C.with_rouge_lsum(C.with_rouge_lsum(r, "pred", "ref", "t"), "pred", "false", "f")
-    rounded = both.select("conv_id", "turn", F.round("t", 9).alias("t"), F.round("f", 9).alias("f"))
-    out = rounded.select("conv_id", "turn", *C.true_false_scores(F.array("t"), F.array("f"), "rouge_lsum"))
-    return out.withColumn("rouge_lsum_diff", F.round("rouge_lsum_diff", 8))
+    out = both.select("conv_id", "turn", *C.true_false_scores(F.array("t"), F.array("f"), "rouge_lsum"))
+    return out.withColumns({c: F.round(c, 9) for c in ("rouge_lsum_max", "rouge_lsum_diff")})
 
 
 @query("H31")
