@@ -166,6 +166,19 @@ def true_false_rouge_lsum(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in ("rouge_lsum_max", "rouge_lsum_diff")})
 
 
+@query(
+    "H31",
+    f"""with recursive t as (select conv_id, turn, {RTOK('pred')} as p, {RTOK('ref')} as r from {B.REPLIES_SQL}),
+        d as (select conv_id, turn, r, p, 0 as i, list_transform(range(0, len(p) + 1), lambda x: 0::bigint) as v from t
+          union all select conv_id, turn, r, p, i + 1, list_prepend(0::bigint, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j]))) from
+            (select *, list_transform(range(1, len(p) + 1), lambda k: case when r[i + 1] = p[k] then v[k] + 1 else v[k + 1] end) as c from d where i < len(r)))
+        select conv_id, turn, round(case when v[-1] > 0 then 2.0::double * v[-1] / (len(p) + len(r)) else 0 end, 9) as rouge_l from d where i = len(r)""",
+)
+def reply_rouge_l(spark, sf):
+    """ROUGE-L of every reply as one sequence; :func:`rouge_l` scores whole documents, for which tables of lengths are too large in SQL."""
+    return C.with_rouge_l(B.replies(spark, sf), "pred", "ref").select("conv_id", "turn", F.round("rouge_l", 9).alias("rouge_l"))
+
+
 @query("H31")
 def rouge_l(spark, sf):
     return C.with_rouge_l(B.doc_pairs(spark, sf), "pred", "ref").select("doc_id", F.round("rouge_l", 9).alias("rouge_l"))
