@@ -92,13 +92,20 @@ def contaminated(text, items, least=3):
     """Whether some 13 aligned words of an item (all of a shorter one) agree in 75 percent, all of them in items of fewer than 8."""
     cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     words = cut(text)
+    places = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
     for item in map(cut, items):
         of = min(13, len(item))
         if len(item) < least:
             continue
-        for shift in range(-len(item), len(words)):
+        share = (100 if of < 8 else 75) * of
+        shifts = Counter(i - k for k, w in enumerate(item) for i in places.get(w, ()))
+        for shift, n in shifts.items():
+            if 100 * n < share:
+                continue
             equal = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
-            if any(100 * sum(equal[i : i + of]) >= (100 if of < 8 else 75) * of for i in range(len(item) - of + 1)):
+            if any(100 * sum(equal[i : i + of]) >= share for i in range(len(item) - of + 1)):
                 return True
     return False
 

@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 from plain import base_spans, components, contaminated
+from pyspark.sql import functions as F
 from test_packing import check_places, expected
 
 from tallyframe.llm import toxicity
@@ -42,3 +43,23 @@ def test_every_stage_against_a_plain_version(spark):
 
 def test_run_returns_packed_pieces(spark):
     assert {"doc_id", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, SF).columns)
+
+
+def test_stages_take_empty_tables_and_extra_columns(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0, name
+    clashing = docs.limit(30).withColumns({c: F.lit("x") for c in ("score", "component_id", "kept", "spans", "text_", "piece", "h", "item_id")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, SF)
+        assert out.columns == corpus_pipeline.COLUMNS and 0 < out.count() <= 30, name
+    assert stage_of("packing")(spark, clashing, SF).select("doc_id").distinct().count() == 30
+    # A whole run over tables without rows.
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def stage_of(name):
+    return dict(corpus_pipeline.STAGES)[name]

@@ -48,3 +48,23 @@ def test_loser_tree_never_sorts_wrongly():
             at[r] += 1
         assert merged == sorted(x for r in runs for x in r)
         assert prefix == [0, *(lcp(a, b) for a, b in zip(merged, merged[1:]))][: len(merged)]
+
+
+def test_texts_longer_than_a_chunk_and_more_anchors_than_a_run(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RUN", 64)
+    monkeypatch.setattr(suffixes, "CHUNK", 4096)
+    draw = random.Random(9)
+    long = "".join(draw.choice("abcdefgh ") for _ in range(30_000))
+    own = {1: long, 2: "x" * 10 + long[20_000:29_000] + "y" * 10, 3: long[:70] + "é" * 200 + long[15_000:15_060], 4: "é" * 300, 5: long[100:140]}
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, 3).collect()}
+    assert got == repeats(own)
+
+
+def test_a_long_text_at_full_size(spark):
+    draw = random.Random(10)
+    long = "".join(draw.choice("abcdefghijklmnop ") for _ in range(1_200_000))
+    rows = [(1, "q" + long[500_000:500_200] + "r"), (2, long), (3, long[-5_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs, 2).collect()}
+    assert got == {1: (202, 0, 0), 2: (1_200_000, 200, 1), 3: (5_000, 5_000, 1)}

@@ -59,3 +59,16 @@ def test_without_labels(spark):
     docs, labels = tables(spark, 20)
     assert {r.score for r in toxicity.judge(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.judge(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns_score_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(docs, labels)
+    one = {r.doc_id: (r.score, r.spans) for r in toxicity.score(docs, model).collect()}
+    twice = docs.unionByName(docs).withColumns({"score": F.lit(1), "spans": F.lit("x"), "toxic": F.lit(1)})
+    rows = toxicity.score(twice, model).collect()
+    assert len(rows) == 120 and all(one[r.doc_id] == (r.score, r.spans) for r in rows)
+    # Repeated labels and documents give the same model.
+    again = toxicity.train(docs.unionByName(docs), labels.unionByName(labels))
+    assert {r.doc_id: round(r.score, 9) for r in toxicity.score(docs, again).collect()} == {d: round(s, 9) for d, (s, _) in one.items()}
