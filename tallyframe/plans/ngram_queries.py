@@ -68,6 +68,16 @@ def frequent_ngrams(spark, sf):
     return N.ngram_doc_frequency(index, "doc_id", min_docs=1, distinct_rows=True)
 
 
+@query(
+    "A35 N6",
+    f"""select ngram, count(distinct doc_id) as n_docs from {B.doc_ngrams_sql(5)} group by ngram having count(distinct doc_id) > 10""",
+)
+def sketched_frequent_ngrams(spark, sf):
+    """5-grams of more than ten documents; a sketch keeps the hashes of rare ones from travelling."""
+    index = N.word_ngrams(docs(spark, sf), ["doc_id"], "text", 5, once=True)
+    return N.ngram_doc_frequency(index, "doc_id", min_docs=10, distinct_rows=True, cells=1 << 20)
+
+
 @query(
     "A41",
     f"""with c as (select ngram, count(*) as n from {B.doc_ngrams_sql(13)} group by ngram), b as (select distinct ngram from {B.bench_ngrams_sql(13)})

@@ -70,6 +70,26 @@ def test_beyond_the_bound_few_ngrams_travel(spark, monkeypatch):
     assert shuffled_rows(N.clean_corpus(corpus, "id", "text", grams, 5, 20, 10, 20)) < 150
 
 
+@pytest.mark.parametrize("distinct", [True, False])
+def test_sketch_guides_the_exact_count(spark, distinct):
+    rng = random.Random(2)
+    common = [" ".join(f"c{k}w{i}" for i in range(5)) for k in range(20)]
+    rows = [(d, " ".join([common[rng.randrange(20)]] + [f"r{rng.randrange(10**6)}" for _ in range(120)] + ([common[0]] if d % 2 else []))) for d in range(300)]
+    rows += [(None, common[1]), (400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = N.word_ngrams(docs, ["doc_id"], "text", 5, once=distinct)
+    plain = N.ngram_doc_frequency(index, "doc_id", 10, distinct)
+    want = sorted(map(tuple, plain.collect()))
+    assert len(want) >= 15
+    for cells in (64, 1 << 16, 1 << 18):
+        assert sorted(map(tuple, N.ngram_doc_frequency(index, "doc_id", 10, distinct, cells).collect())) == want
+    hashes = index.select(F.xxhash64("ngram").alias("h"))
+    kept = hashes.filter(N.heavy_cells(hashes, "h", 10, 1 << 16)(F.col("h"))).count()
+    assert kept < hashes.count() / 5
+    many = N.heavy_cells(hashes, "h", 300, 1 << 16)  # counters of two bytes
+    assert hashes.filter(many(F.col("h"))).count() == 0
+
+
 def test_token_places_of_unicode_texts(spark):
     texts = ["  two  words ", "", " ", "a", "é😀 x y\tz\n", "\x1cq\x85r", None, "end"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.token_places(F.col("t")).alias("p"))
