@@ -114,23 +114,24 @@ def literal_array(values: list[str]) -> Column:
 
 
 def occurrences(tokens: Column) -> Column:
-    """Tokens with their occurrence number, so that a multiset becomes a set.
+    """Numbers that stand for the tokens with their occurrence, so that a multiset becomes a set.
 
-    Runs in the sorted array give the numbers; every step is linear after the sort.
+    A token's first occurrence is its 64-bit hash, further ones are hashes of that and their number, so most tokens cost one
+    hash and no text. Two different tokens of a pair of texts share a number with a probability of their product / 2^64.
     """
 
-    def label(s: Column, runs: Column) -> Column:
-        length = lambda e, i: F.coalesce(F.get(runs, i + 1)["p"], F.size(s)) - e["p"]
-        one = lambda e, i: F.transform(
-            F.sequence(F.lit(1), length(e, i)), lambda k: F.concat(e["w"], F.lit("\x1e"), k.cast("string"))
-        )
+    def further(d: Column, runs: Column) -> Column:
+        length = lambda e, i: F.coalesce(F.get(runs, i + 1)["p"], F.size(d)) - e["p"]
+        one = lambda e, i: F.transform(F.sequence(F.lit(2), length(e, i) + 1), lambda k: F.xxhash64(e["h"], k))
         return F.flatten(F.transform(runs, one))
 
-    def starts(s: Column) -> Column:
-        marked = F.transform(s, lambda w, i: F.struct(w.alias("w"), i.alias("p")))
-        return F.filter(marked, lambda e: (e["p"] == 0) | (e["w"] != F.get(s, e["p"] - 1)))
+    def starts(d: Column) -> Column:
+        marked = F.transform(d, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+        return F.filter(marked, lambda e: (e["p"] == 0) | (e["h"] != F.get(d, e["p"] - 1)))
 
-    return let(F.sort_array(tokens), lambda s: let(starts(s), lambda runs: label(s, runs)))
+    repeats = lambda s: F.filter(s, lambda h, i: (i > 0) & (h == F.get(s, i - 1)))
+    more = lambda d: let(starts(d), lambda runs: further(d, runs))
+    return let(F.sort_array(F.transform(tokens, lambda w: F.xxhash64(w))), lambda s: F.concat(F.array_distinct(s), let(repeats(s), more)))
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

@@ -39,17 +39,17 @@ def tokens_rouge(text: Column) -> Column:
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """All n-grams of a token array as strings (a unit separator keeps tokens apart)."""
+    """All n-grams of a token array: the tokens themselves, or 64-bit hashes over the tokens of each longer gram."""
     if n == 1:
         return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))))
-    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "\x1f")), F.array().cast("array<string>"))
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))))
+    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
+    return F.coalesce(hashed, F.array().cast("array<bigint>"))
 
 
 def clipped_matches(pred: Column, refs: Column) -> Column:
     """Matches of prediction n-grams, each at most as often as in the best reference."""
-    allowed = F.array_distinct(F.flatten(F.transform(refs, occurrences)))
-    return F.size(F.array_intersect(occurrences(pred), allowed))
+    return F.size(F.array_intersect(occurrences(pred), F.flatten(F.transform(refs, occurrences))))
 
 
 def bleu_counts(pred_tokens: Column, ref_tokens: Column, closest: bool = True) -> Column:
