@@ -47,7 +47,7 @@ def bind(value: Column, body) -> Column:
 
 
 def terms(words: Column, first: Column | int = 0) -> Column:
-    """(hash, weight) of every pair of neighbouring words from word ``first`` on."""
+    """(hash, weight) of every pair of neighbouring words from word ``first`` on; ``words`` is bound, because every pair looks into it."""
     hashed = lambda w, i: F.xxhash64(w, F.get(words, i + 1 + first))
     one = lambda w, i: F.struct(hashed(w, i).alias("h"), F.least(F.length(w), F.lit(MAX_WEIGHT)).cast("long").alias("w"))
     return F.transform(F.slice(words, F.lit(1) + first, F.size(words)), one)
@@ -61,8 +61,8 @@ def votes(found: Column) -> Column:
         (acc["all"] + t["w"]).alias("all"),
     )
     listed = lambda acc: F.array(*[acc[f"c{j}"] for j in range(LANE)], acc["all"])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(CHUNK))
-    return F.transform(starts, lambda s: F.aggregate(F.slice(found, s, CHUNK), zero, add, listed))
+    starts = lambda f: F.sequence(F.lit(1), F.greatest(F.size(f), F.lit(1)), F.lit(CHUNK))
+    return bind(found, lambda f: F.transform(starts(f), lambda s: F.aggregate(F.slice(f, s, CHUNK), zero, add, listed)))
 
 
 def fingerprint(chunks: Column) -> Column:
@@ -83,10 +83,9 @@ def two_fingerprints(text: Column, edited: Column, kept: Column) -> Column:
     """
     cut = lambda t: words_of(F.lower(t))
     words = F.struct(cut(text).alias("a"), cut(edited).alias("b"), F.greatest(F.size(cut(kept)) - 2, F.lit(0)).alias("n"))
-    shared = lambda w: F.slice(w["a"], F.lit(1), w["n"] + 1)
-    part = lambda w: F.struct(
-        votes(F.slice(terms(shared(w)), F.lit(1), w["n"])).alias("both"), votes(terms(w["a"], w["n"])).alias("a"), votes(terms(w["b"], w["n"])).alias("b")
-    )
+    part = lambda w: bind(terms(w["a"]), lambda own: F.struct(
+        votes(F.slice(own, F.lit(1), w["n"])).alias("both"), votes(F.slice(own, w["n"] + 1, F.size(own))).alias("a"), votes(terms(w["b"], w["n"])).alias("b")
+    ))
     both = lambda v: F.struct(
         bind(F.concat(v["both"], v["a"]), fingerprint).alias("fp"), bind(F.concat(v["both"], v["b"]), fingerprint).alias("edited_fp")
     )
