@@ -41,6 +41,9 @@ TOP = 2000
 #: Frequent groups are sent to the tasks up to this measured size; above it they are joined by a shuffle.
 GROUP_BYTES = 48 << 20
 
+#: Occurrences of the relation that one numpy pass works on; a longer text is one pass of its own.
+ENTRIES = 500_000
+
 WORDS = "lang string, word string, id long, n long"
 RELATION = "row long, pos array<int>, id array<long>"
 PAIRS = "a long, b long, n long"
@@ -188,6 +191,16 @@ def word_relation(docs: DataFrame, frequent: DataFrame, seed: int, limit: int) -
     return rows.mapInArrow(found, RELATION)
 
 
+def few_rows(batches) -> Iterator[pa.RecordBatch]:
+    """The relation's batches in slices of about ``ENTRIES`` occurrences."""
+    for batch in batches:
+        offsets, first = batch.column("pos").offsets.to_numpy(), 0
+        while first < len(batch):
+            last = max(int(np.searchsorted(offsets, offsets[first] + ENTRIES, "right")) - 1, first + 1)
+            yield batch.slice(first, min(last, len(batch)) - first)
+            first = last
+
+
 def adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Merge join of the batch's relation with itself at the next position: index of the row, position, both phrases."""
     pos, ids = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "id"))
@@ -201,7 +214,7 @@ def pair_counts(relation: DataFrame) -> DataFrame:
     """(a, b, n) of all adjacent occurrences, summed in the task first."""
 
     def count(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             _, _, a, b = adjacent(batch)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -217,7 +230,7 @@ def extend(relation: DataFrame, frequent: DataFrame, limit: int) -> DataFrame:
     groups = relation.sparkSession.sparkContext.broadcast(Groups(frequent)) if is_small(frequent, limit) else None
 
     def joined(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             row = batch.column("row").to_numpy()
             at, pos, a, b = adjacent(batch)
             if groups is None:
@@ -242,7 +255,8 @@ def frequent_phrases(
     found, phrases = [often], often
     relation = written(word_relation(docs, often, seed, limit), "relation-1")
     for m in range(2, max_words + 1):
-        often = written(dense_index(pair_counts(relation).filter(F.col("n") >= min_count), ["a", "b"], "id"), f"groups-{m}")
+        often = written(pair_counts(relation).filter(F.col("n") >= min_count), f"counts-{m}")  # numbered below without counting again
+        often = written(dense_index(often, ["a", "b"], "id"), f"groups-{m}")
         if often.isEmpty():
             break
         head = phrases.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head"))

@@ -21,7 +21,8 @@ def docs():
 
 
 @pytest.mark.parametrize("limit", [C.GROUP_BYTES, 0])
-def test_against_counted_phrases(spark, limit):
+def test_against_counted_phrases(spark, limit, monkeypatch):
+    monkeypatch.setattr(C, "ENTRIES", 700)
     rows = docs()
     phrases, totals = C.frequent_phrases(spark.createDataFrame(rows, SCHEMA), min_count=9, limit=limit)
     found = C.top(C.collocations(phrases, totals), 50).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
