@@ -191,12 +191,12 @@ def word_relation(docs: DataFrame, frequent: DataFrame, seed: int, limit: int) -
     return rows.mapInArrow(found, RELATION)
 
 
-def few_rows(batches) -> Iterator[pa.RecordBatch]:
-    """The relation's batches in slices of about ``ENTRIES`` occurrences."""
+def few_rows(batches, entries: int = ENTRIES) -> Iterator[pa.RecordBatch]:
+    """The relation's batches in slices of about ``entries`` occurrences."""
     for batch in batches:
         offsets, first = batch.column("pos").offsets.to_numpy(), 0
         while first < len(batch):
-            last = max(int(np.searchsorted(offsets, offsets[first] + ENTRIES, "right")) - 1, first + 1)
+            last = max(int(np.searchsorted(offsets, offsets[first] + entries, "right")) - 1, first + 1)
             yield batch.slice(first, min(last, len(batch)) - first)
             first = last
 

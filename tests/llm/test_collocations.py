@@ -21,8 +21,7 @@ def docs():
 
 
 @pytest.mark.parametrize("limit", [C.GROUP_BYTES, 0])
-def test_against_counted_phrases(spark, limit, monkeypatch):
-    monkeypatch.setattr(C, "ENTRIES", 700)
+def test_against_counted_phrases(spark, limit):
     rows = docs()
     phrases, totals = C.frequent_phrases(spark.createDataFrame(rows, SCHEMA), min_count=9, limit=limit)
     found = C.top(C.collocations(phrases, totals), 50).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -58,3 +57,20 @@ def test_same_words():
     data = np.frombuffer(b"abcdefghij abcdefghij abcdefghix ", np.uint8)
     a, b = np.array([0, 0, 0]), np.array([11, 22, 0])
     assert C.same_words(data, a, b, np.array([10, 10, 0])).tolist() == [True, False, True]
+
+
+def test_slices_of_the_relation_keep_every_row():
+    rng = np.random.default_rng(3)
+    sizes = [0, 5, 0, 40, 1, 1, 7, 0, 90, 3]
+    pos = [sorted(rng.choice(200, n, replace=False).tolist()) for n in sizes]
+    ids = [rng.integers(0, 9, n).tolist() for n in sizes]
+    batch = C.pa.RecordBatch.from_pydict({"row": list(range(10)), "pos": C.pa.array(pos, C.pa.list_(C.pa.int32())), "id": C.pa.array(ids, C.pa.list_(C.pa.int64()))})
+    for part in (batch, batch.slice(2, 7)):
+        want = {(r["row"], p, a, b) for r in part.to_pylist() for (p, a), (q, b) in zip(zip(r["pos"], r["id"]), list(zip(r["pos"], r["id"]))[1:]) if q == p + 1}
+        for entries in (1, 10, 50, 1000):
+            found, rows = set(), []
+            for few in C.few_rows([part], entries):
+                own = few.column("row").to_numpy()
+                rows += own.tolist()
+                found |= {(int(own[i]), int(p), int(a), int(b)) for i, p, a, b in zip(*C.adjacent(few))}
+            assert rows == part.column("row").to_pylist() and found == want
