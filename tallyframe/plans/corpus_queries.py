@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions.columns import words
 from tallyframe.operators import corpus as C
 from tallyframe.plans import bindings as B
 from tallyframe.plans.registry import query
@@ -46,6 +47,31 @@ def corpus_bleu(spark, sf):
     return out.select(F.round("bleu", 6).alias("bleu"))
 
 
+HALF = f"array_to_string({B.sql_words('ref')}[1:ceil(len({B.sql_words('ref')}) / 2)::int], ' ')"
+TWO_REFS = f"""with t as (select id, {B.sql_words(sql_steps('pred'))} as p, {B.sql_words(sql_steps('ref'))} as a, {B.sql_words(sql_steps('half'))} as b
+    from (select *, {HALF} as half from {REPLY_IDS})),
+  q as (select id, 1 as k, a as r from t union all select id, 2, b from t)""" + "".join(
+    f""", p{n} as (select id, g, count(*) as c from (select id, unnest(list_transform(range(1, len(p) - {n} + 2), lambda i: array_to_string(p[i:i + {n - 1}], chr(31)))) as g from t) group by 1, 2),
+  r{n} as (select id, g, max(c) as c from (select id, k, g, count(*) as c from
+    (select id, k, unnest(list_transform(range(1, len(r) - {n} + 2), lambda i: array_to_string(r[i:i + {n - 1}], chr(31)))) as g from q) group by 1, 2, 3) group by 1, 2),
+  m{n} as (select x.id, sum(least(x.c, y.c)) as m from p{n} x join r{n} y on x.id = y.id and x.g = y.g group by 1)""" for n in range(1, 5)
+)
+NEAREST = "case when abs(len(a) - len(p)) < abs(len(b) - len(p)) then len(a) when abs(len(a) - len(p)) > abs(len(b) - len(p)) then len(b) else least(len(a), len(b)) end"
+
+
+@query(
+    "A11",
+    f"""{TWO_REFS}, s as (select {TOTALS}, (select sum(len(p)) from t)::double as pl, (select sum({NEAREST}) from t)::double as rl)
+        select round(100 * (case when pl < rl then exp(1 - rl / pl) else 1 end) * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4), 6) as bleu from s""",
+)
+def corpus_bleu_two_references(spark, sf):
+    """References of unequal length: the whole text and its first half. A match is clipped by the better one, the nearer length counts."""
+    w = words(F.col("ref"))
+    half = F.array_join(F.slice(w, F.lit(1), F.ceil(F.size(w) / 2).cast("int")), " ")
+    out = C.corpus_bleu(B.replies(spark, sf).withColumn("half", half), F.col("pred"), F.array("ref", "half"))
+    return out.select(F.round("bleu", 6).alias("bleu"))
+
+
 # Linear part of each row in the logarithm of BLEU: its standard error by the delta method.
 BLEU_ERROR = f"""with {TOK13}, {gram_sums('t', range(1, 5))}, s as (select {TOTALS}, (select sum(len(p)) from t)::double as pl, (select sum(len(r)) from t)::double as rl),
   b as (select *, 100 * (case when pl < rl then exp(1 - rl / pl) else 1 end) * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) as bleu from s),

@@ -108,7 +108,7 @@ def stored_index_matches(spark, sf):
     """The corpus index is written once, sorted and in buckets; the benchmark is matched with what is read back."""
     path = fresh_folder(spark, "ngram-index")
     grams = N.word_ngrams(B.table(spark, sf, "documents"), ["doc_id"], "text", 13, once=True)
-    sinks.write_ngram_index(grams, path, 13, n_buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sinks.write_ngram_index(grams, path, 13, n_buckets=32)
     index, n = sinks.read_ngram_index(spark, path)
     bench = N.word_ngrams(B.table(spark, sf, "benchmark"), ["item_id"], "text", n).distinct()
     return N.match_ngrams(index.select("ngram"), bench).select("item_id").distinct()

@@ -36,7 +36,7 @@ def stream_ngram_index(spark, sf):
     base = fresh_folder(spark, "ngrams")
     for k in range(ROUNDS):
         arrive(docs, base, k)
-        store = create_store(spark, base + "/index", 13, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        store = create_store(spark, base + "/index", 13, buckets=32)
         arrived = S.read_files(spark, base + "/in", docs.schema, "parquet")
         S.stream_ngram_index(arrived, "doc_id", "text", store, base + "/state").awaitTermination()
         if k == 1:
