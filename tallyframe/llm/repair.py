@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyframe.llm.registry import query
 from tallyframe.llm.shared import SPACE, SPACE_CHARS, table, written

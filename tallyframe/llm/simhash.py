@@ -155,7 +155,7 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> tuple[DataFrame, Wi
     blocks = blocks or ID_BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.withColumn("block", block_of(F.col("doc_id"), id_cuts(docs, blocks))).withColumn("h", F.xxhash64("t"))
     firsts = rows.groupBy("block").agg(F.min(F.struct("doc_id", "h")).alias("x")).orderBy("block").collect()  # a row per block
-    schema = f"first_block int, first_id long, first_h long, target int"
+    schema = "first_block int, first_id long, first_h long, target int"
     before = [(r["block"], r["x"]["doc_id"], r["x"]["h"], firsts[k - 1]["block"]) for k, r in enumerate(firsts)]
     marks = F.broadcast(spark.createDataFrame(before, schema))
     same = (F.col("block") == F.col("first_block")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
