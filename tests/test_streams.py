@@ -4,7 +4,6 @@ import glob
 
 import pytest
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import functions as F
 
 from tallyframe.operators import ngrams as N
 from tallyframe.sources.ngram_store import create_store, open_store
