@@ -9,8 +9,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-#: How far a bootstrap error may lie from the formula it is compared with, as a share. 400 resamples know a standard
-#: deviation to about 3.5 percent; the formula of a ratio is itself good to a few percent in small groups.
+#: How far a bootstrap error may lie from the formula it is compared with, as a share. 200 resamples know a standard
+#: deviation to about 5 percent; the formula of a ratio is itself good to a few percent in small groups.
 AGREE = 0.2
 
 # The full row in order, because (l_orderkey, l_linenumber) is not unique.

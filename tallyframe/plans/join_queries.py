@@ -164,7 +164,7 @@ def fix_answers(spark, sf):
 def bootstrap_mean_stderr(spark, sf):
     """The bootstrap error of the mean beside its formula; they have to agree within ``AGREE``."""
     e = B.table(spark, sf, "events").withColumnRenamed("event_type", "task")
-    boot = bootstrap_stderr(e, ["task"], {"value": F.col("value")}, lambda s: s["value"] / s["n"], iters=400)
+    boot = bootstrap_stderr(e, ["task"], {"value": F.col("value")}, lambda s: s["value"] / s["n"], iters=200)
     formula = e.groupBy("task").agg(F.count("value").alias("n"), (F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("formula"))
     return agreeing(formula.join(boot, "task"), "task")
 
@@ -184,7 +184,7 @@ def bootstrap_f1_stderr(spark, sf):
     """The bootstrap error of F1 beside the delta method's."""
     g = B.gold_pred(spark, sf).withColumn("task", F.lit("labels"))
     both, gold, pred = (F.col("gold") * F.col("pred")), F.col("gold"), F.col("pred")
-    boot = bootstrap_stderr(g, ["task"], {"tp": both, "t": gold, "p": pred}, lambda s: 2 * s["tp"] / (s["t"] + s["p"]), iters=400)
+    boot = bootstrap_stderr(g, ["task"], {"tp": both, "t": gold, "p": pred}, lambda s: 2 * s["tp"] / (s["t"] + s["p"]), iters=200)
     # Sums of squares and products of the two counts give the error without a second pass.
     x, y = 2 * both, gold + pred
     s = g.groupBy("task").agg(*[F.sum(e.cast("double")).alias(c) for c, e in {"x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}.items()], F.count("*").alias("n"))
