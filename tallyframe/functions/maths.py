@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.columns import after_first, any_of, before_first, let, literal_array, steps, strip, to_number
@@ -48,19 +50,28 @@ def word_to_number(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(strip(text))), text)
 
 
+#: Patterns of all unit words, each also with a plural s, and the numbers of those that begin with a word.
+UNIT_PATTERNS = [UNICODE + rf"(^|\W)(?:{u})($|\W)" for u in UNITS + [u + "s" for u in UNITS]]
+UNITS_BY_WORD: dict[str, list[int]] = {}
+for _i, _u in enumerate(UNITS + [u + "s" for u in UNITS]):
+    UNITS_BY_WORD.setdefault(re.findall(r"\w+", _u)[0], []).append(_i)
+
+
 def remove_units(text: Column) -> Column:
-    """Delete unit words between non-word marks, in list order, twice; never to an empty text."""
-    units = UNITS + [u + "s" for u in UNITS]
-    form = UNICODE + r"(^|\W)(?:{})($|\W)"
-    any_unit = form.format("|".join(dict.fromkeys(units)))
-    patterns = literal_array([form.format(u) for u in units])
-
-    def drop(acc: Column, pattern: Column) -> Column:
-        return let(F.regexp_replace(acc, pattern, F.lit("$1$2")), lambda r: F.when(r != "", r).otherwise(acc))
-
-    twice = lambda t: F.aggregate(F.concat(patterns, patterns), t, drop)
-    # most answers hold no unit at all and need only this one test
-    return F.when(text.rlike(any_unit), twice(text)).otherwise(text)
+    """Delete unit words between non-word marks, in list order, twice; never to an empty text.
+
+    A unit is cut out between marks, so no cut makes a new word: only units whose first word stands in the text can ever
+    match, and the others are not tried. Few patterns are left, and each costs its compilation.
+    """
+    numbers = F.create_map(*[x for w, own in UNITS_BY_WORD.items() for x in (F.lit(w), F.array(*map(F.lit, own)))])
+    patterns = literal_array(UNIT_PATTERNS)
+    tried = lambda w: F.coalesce(F.try_element_at(numbers, w), F.array().cast("array<int>"))
+
+    def drop(acc: Column, i: Column) -> Column:
+        return let(F.regexp_replace(acc, F.get(patterns, i), F.lit("$1$2")), lambda r: F.when(r != "", r).otherwise(acc))
+
+    own = F.sort_array(F.flatten(F.transform(F.array_distinct(F.split(text, UNICODE + r"\W+")), tried)))
+    return let(F.struct(text.alias("t"), own.alias("i")), lambda s: F.aggregate(F.concat(s["i"], s["i"]), s["t"], drop))
 
 
 def _swap(*pairs: tuple[str, str]):
