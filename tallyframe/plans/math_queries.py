@@ -8,10 +8,12 @@ from tallyframe.functions import maths as M
 from tallyframe.functions.text import best_answer, translate_label
 from tallyframe.plans import bindings as B
 from tallyframe.plans.registry import query
+from tallyframe.session import spread
 
 
 def parts(spark, sf):
-    return B.table(spark, sf, "part")
+    """The parts, dealt to all cores: a large table of them is few splits of a file, and an answer costs far more than its row."""
+    return spread(B.table(spark, sf, "part"))
 
 
 def cat(*xs):

@@ -47,6 +47,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Rows of a table in few files over all cores, for work that costs far more per row than moving the row."""
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def is_small(df: DataFrame, text_cols: list[str], limit: int = BROADCAST_BYTES) -> bool:
     """Measure a table: the bytes of the named columns plus a fixed cost per row."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in text_cols), F.lit(64))
