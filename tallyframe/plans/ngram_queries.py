@@ -130,10 +130,13 @@ SPANS = """select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i:
 
 @query("N2", f"select doc_id, count(*) as n, sum(x.s)::bigint as starts, sum(x.e)::bigint as ends, max(x.g) as hi from ({SPANS}) group by doc_id")
 def word_ngrams_indices(spark, sf):
-    g = N.word_ngrams_indices(docs(spark, sf), ["doc_id"], "text", n13)
-    return g.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.max("ngram").alias("hi")
+    """Figures of each text's n-grams and places, summed up inside the row, then per id."""
+    total = lambda g, name: F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + x[name]).alias(f"{name}s")
+    figures = lambda g: F.struct(
+        F.size(g).cast("long").alias("n"), total(g, "start"), total(g, "end"), F.array_max(F.transform(g, lambda x: x["ngram"])).alias("hi")
     )
+    g = N.word_ngrams_indices(docs(spark, sf), ["doc_id"], "text", n13, figures)
+    return g.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n", "starts", "ends")], F.max("hi").alias("hi"))
 
 
 # Hits in order, at most ten per document; what lies between the cuts, then what lies behind the last one.
