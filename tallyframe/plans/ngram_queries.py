@@ -8,6 +8,7 @@ from tallyframe.functions.columns import let
 from tallyframe.operators import ngrams as N
 from tallyframe.plans import bindings as B
 from tallyframe.plans.registry import query
+from tallyframe.session import small_tasks
 
 n13 = 13
 
@@ -16,6 +17,11 @@ def docs(spark, sf):
     return B.table(spark, sf, "documents")
 
 
+def dealt_docs(spark, sf):
+    """Texts in tasks whose n-grams are counted in memory."""
+    return small_tasks(docs(spark, sf).select("doc_id", "text"), "text")
+
+
 def bench(spark, sf):
     return B.table(spark, sf, "benchmark")
 
@@ -64,7 +70,7 @@ def contaminating_documents(spark, sf):
     f"""select ngram, count(distinct doc_id) as n_docs from {B.doc_ngrams_sql(13)} group by ngram having count(distinct doc_id) > 1""",
 )
 def frequent_ngrams(spark, sf):
-    index = N.word_ngrams(docs(spark, sf), ["doc_id"], "text", n13, once=True)
+    index = N.word_ngrams(dealt_docs(spark, sf), ["doc_id"], "text", n13, once=True)
     return N.ngram_doc_frequency(index, "doc_id", min_docs=1, distinct_rows=True)
 
 
@@ -85,7 +91,7 @@ def sketched_frequent_ngrams(spark, sf):
         count(*) filter (ngram not in (select ngram from b)) as non_matching_unique from c""",
 )
 def contamination_report(spark, sf):
-    corpus = N.word_ngrams(docs(spark, sf), [], "text", n13)
+    corpus = N.word_ngrams(dealt_docs(spark, sf), [], "text", n13)
     return N.contamination_report(corpus, N.register_contaminants(bench(spark, sf), "text", n13))
 
 

@@ -35,3 +35,31 @@ def test_running_sums(spark):
         values = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
         got = spark.range(1).select(running_sums(values).alias("s")).first().s
         assert got == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
+def test_texts_of_one_file_are_counted_in_small_tasks(spark):
+    from tallyframe.session import small_tasks
+
+    df = spark.range(400).select("id", F.lit("x" * 1000).alias("t")).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    many = small_tasks(df, "t", 400_000 // (3 * cores))
+    assert many.rdd.getNumPartitions() >= 3 * cores and many.count() == 400
+    assert small_tasks(df, "t").rdd.getNumPartitions() == 1
+    assert small_tasks(df.limit(0), "t").count() == 0
+
+
+def test_texts_of_rare_ngrams_do_not_travel(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same six words again here "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.concat(F.lit("w"), F.col("id") * 100 + i)), " ")).alias("text"))
+    index = N.word_ngrams(docs, ["doc_id"], "text", 3, once=True)
+    want = sorted(map(tuple, N.ngram_doc_frequency(index, "doc_id", 1, True).collect()))
+    monkeypatch.setattr(N, "is_small", lambda *a: False)
+    out = N.ngram_doc_frequency(index, "doc_id", 1, True)
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 4
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_named_words_make_the_ngrams_of_slices(spark, monkeypatch):
+    grams = lambda: [r.g for r in texts(spark).select(N.ngram_array(F.col("text"), 3).alias("g")).collect()]
+    got = grams()
+    monkeypatch.setattr(N, "NAMED_WORDS", 0)
+    assert got == grams()
