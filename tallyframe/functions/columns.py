@@ -12,6 +12,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+# Every character of SPACE_CLASS.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 
 
@@ -53,6 +55,9 @@ def squeeze(text: Column) -> Column:
 
 
 def strip(text: Column, chars: str = SPACE_CLASS) -> Column:
+    """The text without the characters at both ends; for spaces only the ends are looked at, no pattern runs over the text."""
+    if chars == SPACE_CLASS:
+        return F.btrim(text, F.lit(SPACES))
     return F.regexp_replace(text, f"^{chars}+|{chars}+$", "")
 
 

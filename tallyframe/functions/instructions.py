@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.code import json_valid
-from tallyframe.functions.columns import all_of, any_of, let, literal_array, strip, words
+from tallyframe.functions.columns import SPACE_CLASS, all_of, any_of, let, literal_array, strip, words
 
 Args = Callable[[str], Column]
 UNICODE = "(?U)"
@@ -194,7 +194,12 @@ def follows(
     checks, out = checks_with(detect), F.lit(False)
     for name in known or checks:
         out = F.when(instruction == name, F.coalesce(checks[name](response, arg), F.lit(False))).otherwise(out)
-    return (strip(response) != "") & out
+    return not_blank(response) & out
+
+
+def not_blank(text: Column) -> Column:
+    """Something other than space: the first such character decides, the text is not stripped."""
+    return text.rlike(SPACE_CLASS.replace("[", "[^", 1))
 
 
 def loose_variants(response: Column) -> Column:
