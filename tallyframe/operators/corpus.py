@@ -35,7 +35,7 @@ def tokens_code_text(text: Column) -> Column:
 
 
 def tokens_rouge(text: Column) -> Column:
-    return words(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), "")
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -158,9 +158,10 @@ def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     """F-measure of n-gram overlap."""
 
     def f(s: Column) -> Column:
-        a, b = grams(s["p"], n), grams(s["r"], n)
-        same = clipped_matches(a, F.array(b))
-        return F.when(same > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(0.0)
+        matches = clipped_matches(grams(s["p"], n), F.array(grams(s["r"], n)))
+        made = lambda tokens: F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        # bound once: the matches are the whole cost
+        return let(matches, lambda same: F.when(same > 0, 2.0 * same / (made(s["p"]) + made(s["r"]))).otherwise(0.0))
 
     return let(F.struct(tokens_rouge(pred).alias("p"), tokens_rouge(ref).alias("r")), f)
 
