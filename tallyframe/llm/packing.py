@@ -74,7 +74,9 @@ class UnitIds:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[int, int] = {}
+        #: Sorted hashes of the units and their numbers: arrays, since a dictionary of so many is ten times as large.
+        self.keys = np.zeros(0, np.uint64)
+        self.places = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
@@ -97,20 +99,25 @@ class UnitIds:
     def _unit_rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, rows = units(data, at)
         hashes, back = np.unique(textnp.word_hashes(data, starts, ends), return_inverse=True)
-        if len(self.places) + len(hashes) > REMEMBERED:
+        if len(self.keys) + len(hashes) > REMEMBERED:
             self.forget()
-        keys, places = hashes.tolist(), self.places
-        new = [i for i, h in enumerate(keys) if h not in places]
-        if new:
-            some = np.empty(len(keys), np.int64)
+        spot = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = np.flatnonzero(spot < len(self.keys))
+        known[inside] = self.keys[spot[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            some = np.empty(len(hashes), np.int64)
             some[back] = np.arange(len(back))
             text, some = data.tobytes(), some[new]
             words = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            places.update(zip([keys[i] for i in new], range(len(places), len(places) + len(new))))
+            numbers = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.keys, self.places = np.insert(self.keys, spot[new], hashes[new]), np.insert(self.places, spot[new], numbers)
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found])])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-        own = np.array([places[h] for h in keys], np.int64)[back]
+            spot = np.searchsorted(self.keys, hashes)
+        own = self.places[spot][back]
         length = self.at[own + 1] - self.at[own]
         before = np.cumsum(length) - length
         take = np.repeat(self.at[own] - before, length) + np.arange(length.sum())
@@ -139,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         own_ids = unit_ids(tokenizer_path(tokenizer))
         for batch in batches:
             data, at = textnp.buffers(batch.column(1))
-            for first, last in textnp.row_chunks(at, 4 * textnp.CHUNK):
+            for first, last in textnp.row_chunks(at):
                 own = at[first : last + 1] - at[first]
                 ids, counts = own_ids.rows(data[at[first] : at[last]], own)
                 ends = np.cumsum(counts)
