@@ -63,3 +63,14 @@ def test_named_words_make_the_ngrams_of_slices(spark, monkeypatch):
     got = grams()
     monkeypatch.setattr(N, "NAMED_WORDS", 0)
     assert got == grams()
+
+
+def test_sketched_hashes_are_written_once(spark, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id")).alias("text"))
+    index = N.word_ngrams(docs, ["doc_id"], "text", 3)
+    seen, plain = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: seen.append(df.columns) or plain(df, name))
+    for distinct, columns in ((True, ["_h"]), (False, ["_h", "_d"])):
+        got = N.ngram_doc_frequency(index, "doc_id", 10, distinct, cells=1 << 10)
+        assert sorted(map(tuple, got.collect())) == [("a b c", 40), ("b c d", 40)]
+        assert seen.pop() == columns and not seen
