@@ -2,8 +2,8 @@
 
 Terms are pairs of neighbouring words (the last word stands alone), lower-cased and hashed to 64 bits; a term weighs as much
 as its first word has characters, up to ``MAX_WEIGHT``. Every occurrence votes for or against each bit. Four bits are
-counted in one 64-bit number (lanes of 16 bits, which ``CHUNK`` terms cannot overflow), so a term costs 16 additions. The
-terms that a text and its edited text begin with vote once for both.
+counted in one 64-bit number (lanes of 16 bits, of which ``CHUNK`` terms fill 15: the highest bit of all is the sign), so a
+term costs 16 additions. The terms that a text and its edited text begin with vote once for both.
 
 The search cuts fingerprints into ``blocks`` blocks. Two fingerprints within ``radius`` bits differ in at most ``radius`` blocks
 and agree in the others, so they share the key of at least one table that keeps ``blocks - radius`` blocks; such pairs are
@@ -32,7 +32,8 @@ LANES = BITS // LANE
 #: One bit in every lane.
 ONES = sum(1 << LANE * k for k in range(LANES))
 MAX_WEIGHT = 15
-CHUNK = ((1 << LANE) - 1) // MAX_WEIGHT
+#: Terms whose votes, all for one bit, fit a lane without its highest bit: in the top lane that is the sign, and a long that overflows is an error.
+CHUNK = ((1 << LANE - 1) - 1) // MAX_WEIGHT
 RADIUS = 3
 BLOCKS = 6
 #: Query documents of the search are those whose id is divisible by this number.

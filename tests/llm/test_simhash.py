@@ -60,6 +60,14 @@ def test_search_finds_everything_within_the_radius(spark):
         assert found == {signed(v): (near(v, values), near(v, set(values))) for v in values}
 
 
+def test_one_pair_of_long_words_over_and_over(spark):
+    rows = [(20 * k, f"{word} " * n, "x", "y") for k, (word, n) in enumerate([("internationalisation", 2200), ("x" * 15, 4400), ("é" * 30, 9000)])]
+    found = S.neighbours(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    assert [r.fingerprint for r in found] == [f"{simhash(t):016x}" for _, t, *_ in rows]
+    edited = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for (_, t, *_), (_, after, *_) in zip(rows, rows[1:] + [(0, "")])]
+    assert [r.edited_fingerprint for r in found] == [f"{simhash(t):016x}" for t in edited]
+
+
 def test_empty_table_and_a_single_document(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.neighbours(empty).collect() == []
