@@ -12,7 +12,9 @@ from tallyframe.plans.attempt_queries import MATRIX, attempt_matrix
 from tallyframe.plans.registry import query
 from tallyframe.plans.stream_queries import fresh_folder
 from tallyframe.plans.table_queries import results_json
+from tallyframe.session import small_parts
 from tallyframe.sources import sinks, tables
+from tallyframe.sources.ngram_store import TEXT_BYTES
 
 
 @query("S1", "select p_partkey, lower(p_name) as name, p_brand as brand, row_number() over (order by p_partkey) - 1 as idx from part")
@@ -107,7 +109,8 @@ def write_model_summary(spark, sf):
 def stored_index_matches(spark, sf):
     """The corpus index is written once, sorted and in buckets; the benchmark is matched with what is read back."""
     path = fresh_folder(spark, "ngram-index")
-    grams = N.word_ngrams(B.table(spark, sf, "documents"), ["doc_id"], "text", 13, once=True)
+    texts = small_parts(B.table(spark, sf, "documents").select("doc_id", "text"), "text", TEXT_BYTES)
+    grams = N.word_ngrams(texts, ["doc_id"], "text", 13, once=True)
     sinks.write_ngram_index(grams, path, 13, n_buckets=32)
     index, n = sinks.read_ngram_index(spark, path)
     bench = N.word_ngrams(B.table(spark, sf, "benchmark"), ["item_id"], "text", n).distinct()

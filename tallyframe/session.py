@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -70,6 +71,27 @@ def small_tasks(df: DataFrame, text: str, task_bytes: int = 8 * 1024 * 1024) ->
     return df.repartition(n) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
 
+#: Most times that a text is read again in place of being moved.
+READINGS = 32
+
+
+def small_parts(df: DataFrame, text: str, part_bytes: int) -> DataFrame:
+    """Texts in tasks of about ``part_bytes``, for work that makes so much of them that a task has to start with little.
+
+    Nothing moves: a piece of the table is read by several tasks, each keeps the rows whose hash is its own. Pieces are
+    measured first; where one is so large that it would be read more than ``READINGS`` times, texts are dealt as by
+    :func:`small_tasks`. Not for tables that cost much to read.
+    """
+    pieces = df.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length(text)).alias("b"))
+    n = -(-(pieces.agg(F.max("b")).first()[0] or 0) // part_bytes)
+    if n < 2:
+        return df
+    if n > READINGS:
+        return small_tasks(df, text, part_bytes)
+    own = F.pmod(F.xxhash64(*df.columns), F.lit(n))
+    return reduce(DataFrame.unionAll, [df.filter(own == k) for k in range(n)])
+
+
 def is_small(df: DataFrame, text_cols: list[str], limit: int = BROADCAST_BYTES) -> bool:
     """Measure a table: the bytes of the named columns plus a fixed cost per row."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in text_cols), F.lit(64))

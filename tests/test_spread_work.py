@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.plans import math_queries as Q
 
 
@@ -21,3 +22,16 @@ def test_rows_of_one_file_use_all_cores(spark, parts_folder, name):
     out = getattr(Q, name)(spark, parts_folder)
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert out.count() == 40
+
+
+def test_small_parts_read_again_and_move_nothing(spark, tmp_path):
+    rows = [(i % 50 or None, f"text {i % 70} " + "x" * (i % 9)) for i in range(400)] + [(None, None), (1, ""), (7, "same"), (7, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(len(t or "") for _, t in rows)
+    for parts in (1, 7, session.READINGS, session.READINGS + 1):
+        found = session.small_parts(df, "text", -(-size // parts))
+        assert sorted(map(str, found.collect())) == sorted(map(str, df.collect()))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan if parts > session.READINGS else "Exchange" not in plan and plan.count("FileScan") == parts
+    assert session.small_parts(df.limit(0), "text", 1).collect() == []

@@ -1,11 +1,14 @@
 """Streams that stop, fail and start again."""
 
 import glob
+import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 
 from tallyframe.operators import ngrams as N
+from tallyframe.sources import ngram_store
 from tallyframe.sources.ngram_store import create_store, open_store
 from tallyframe.streaming import resume
 
@@ -113,6 +116,48 @@ def test_one_file_per_bucket_and_run_after_compaction(spark, tmp_path):
         assert rows == sorted(rows)
 
 
+def bucket_files(folder):
+    """Per bucket the n-grams of each file, files in the order of their first n-gram; every file is sorted."""
+    found = {}
+    for f in glob.glob(f"{folder}/*.parquet"):
+        rows = pq.read_table(f, partitioning=None).column("ngram").to_pylist()
+        assert rows == sorted(rows, key=lambda g: (g is not None, (g or "").encode()))
+        found.setdefault(re.search(r"_(\d{5})\.", f)[1], []).append(rows)
+    return {b: sorted(files, key=lambda rows: (rows[0] is not None, rows[0] or "")) for b, files in found.items()}
+
+
+def test_rows_are_written_where_they_are_made(spark, tmp_path):
+    rows = grams(spark, [(i, f"w{i} w{i + 1} w{i + 2} w{i + 3}") for i in range(300)]).repartition(6)
+    few, many = (create_store(spark, str(tmp_path / str(n)), 3, buckets=n) for n in (4, ngram_store.FEW_BUCKETS + 1))
+    for store in (few, many):
+        store.append(rows, "all")
+        assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.select("ngram", "doc_id").collect()))
+    assert {b: len(files) for b, files in bucket_files(f"{few.path}/runs/run={few.runs()[0]['run']}").items()} == {f"{b:05}": 6 for b in range(4)}
+    assert all(len(files) == 1 for files in bucket_files(f"{many.path}/runs/run={many.runs()[0]['run']}").values())
+
+
+def test_compaction_takes_a_bucket_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_store, "MERGE_ROWS", 30)
+    # Small splits: files of one bucket would be read by many tasks if buckets were not read whole.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        store = create_store(spark, str(tmp_path / "i"), 3, buckets=2)
+        for k in range(3):
+            rows = grams(spark, [(100 * k + i, f"w{i} w{i + 1} w{i + 2} w{i + 3}") for i in range(40)])
+            store.append(rows.unionByName(spark.createDataFrame([(k, None)], "doc_id long, ngram string")), str(k))
+        before = sorted(map(str, store.read().collect()))
+        assert store.compact() and sorted(map(str, store.read().collect())) == before
+        found = bucket_files(f"{tmp_path}/i/runs/run={store.runs()[0]['run']}")
+        assert len(found) == 2 and all(2 <= len(files) <= 5 for files in found.values())
+        for files in found.values():  # ranges do not overlap: the files of a bucket follow one another
+            whole = [g for rows in files for g in rows]
+            assert whole == sorted(whole, key=lambda g: (g is not None, g or ""))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_the_join_leaves_the_buckets_where_they_are(spark, tmp_path):
     store = create_store(spark, str(tmp_path / "i"), 3, buckets=4)
     for k in range(2):
